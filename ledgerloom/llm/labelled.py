@@ -30,12 +30,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     return rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64)
 
 
-def in_groups(texts: list[str]) -> Iterator[list[str]]:
+def in_groups(texts: list[str], most: int = GROUP_CHARS) -> Iterator[list[str]]:
     group, chars = [], 0
     for t in texts:
         group.append(t)
         chars += len(t)
-        if chars >= GROUP_CHARS:
+        if chars >= most:
             yield group
             group, chars = [], 0
     if group:
