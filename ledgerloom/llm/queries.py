@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, quality, secrets, simhash, toxicity
+from ledgerloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, toxicity, url_filter
 from ledgerloom.llm.common import table
 
 
@@ -22,10 +22,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(conversations.unionByName(chat.probe_conversation(spark))))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -38,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op7_secrets": op7_secrets,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -76,4 +87,8 @@ SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, budget - b
 FROM served GROUP BY rid, doc_id, size, source_size, target
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": MIXING_SQL,
+    "op6_chat": chat.ORACLE_SQL,
+    "op8_url_filter": url_filter.oracle_sql(),
+}
