@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, toxicity, url_filter
+from ledgerloom.llm import chat, decontaminate, mixing, quality, secrets, simhash, toxicity, url_filter, warc
 from ledgerloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
     "op7_secrets": op7_secrets,
@@ -89,6 +94,7 @@ FROM served GROUP BY rid, doc_id, size, source_size, target
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": MIXING_SQL,
+    "op4_warc": warc.ORACLE_SQL,
     "op6_chat": chat.ORACLE_SQL,
     "op8_url_filter": url_filter.oracle_sql(),
 }
