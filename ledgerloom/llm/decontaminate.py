@@ -217,9 +217,8 @@ class Index:
             which = np.repeat(np.arange(len(at)), times)
             entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[which]
             opened.append(np.stack([doc[which], np.array([len(i) for i in self.items], dtype=np.int64)[item[entry]], at[which] - offset[entry]], axis=1))
-        if not opened:
+        if not opened or not len(opened := np.unique(np.concatenate(opened), axis=0)):
             return none, none, none
-        opened = np.unique(np.concatenate(opened), axis=0)
         hits = []
         limits = np.array([allowed(n) for n in range(int(opened[:, 1].max()) + 1)])[opened[:, 1]]
         shift = np.arange(-int(limits.max()), int(limits.max()) + 1)
