@@ -1,19 +1,47 @@
-"""Stages that turn ``documents`` into a training mix; each is written as Parquet and reread as the next one's input."""
+"""Five stages that turn ``documents`` into a training mix; each is written as Parquet and reread as the next one's input.
+
+1. toxicity: documents that the classifier rejects go.
+2. near_dedup: one document of each group of near copies stays, that of the least doc_id.
+3. decontaminate: documents into which a benchmark item leaks go.
+4. secrets: secrets within texts are masked; the documents stay.
+5. mix: sources are brought to their target shares; ``taken`` says how many words of a document are used.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from ledgerloom.llm import decontaminate, mixing, secrets, simhash, toxicity
+from ledgerloom.llm.common import saved, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("decontaminate", drop_leaks), ("secrets", mask_secrets), ("mix", mix_sources)]
+#: The toxicity model cannot be expressed in SQL; the tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledgerloom.llm.common import saved
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs, f"stage-{name}")
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -110,3 +110,14 @@ def mix(docs: DataFrame) -> DataFrame:
         match = (F.col(t) == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
         out = out.join(F.broadcast(side), match, "left").withColumn(f"take_{t}", F.when(near, F.coalesce(F.col(f"some_{t}"), F.lit(0))).when(F.floor(F.col(t) / step) < at, F.col("size")).otherwise(0)).drop("d", "s", "z", "u", f"some_{t}")
     return out.select("doc_id", "size", "source_size", "target", (F.col("take_t0") + F.col("take_t1")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with all columns and ``taken``.
+
+    Rows that agree in doc_id and size share one decision, the larger.
+    """
+    by_size = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
+    chosen = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "taken").groupBy("_id", "_words").agg(F.max("taken").alias("taken"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words"))
+    return by_size.join(chosen, match).select(*docs.columns, "taken")

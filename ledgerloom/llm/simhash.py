@@ -31,36 +31,49 @@ HASH_SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 TILE = 2048
 CHUNK = 1 << 16
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Reference fingerprints: XXH64 of their number, so about half of all bits differ between any two.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, HASH_SEED) for i in range(24)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The unsigned 64-bit fingerprint of a UTF-8 text; null, empty and blank texts give 0."""
+def fingerprint(text: bytes | None, family: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of a UTF-8 text; null, empty and blank texts give 0.
+
+    The first comes from the shingles' XXH64; the others of the family from that hash mixed with their number.
+    """
     words = (text or b"").lower().split()  # bytes: A-Z only, ASCII whitespace only
     if not words:
-        return 0
+        return np.zeros(family, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
-    votes, total = np.zeros(64, dtype=np.int64), 0
+    votes, total = np.zeros((family, 64), dtype=np.int64), 0
     last = max(1, len(words) - SHINGLE + 1)
     for at in range(0, last, CHUNK):
         part = words[at : min(at + CHUNK, last) + SHINGLE - 1]
         shingles = zip(part, part[1:], part[2:], strict=False) if len(words) >= SHINGLE else [part]
         h = np.array([digest(b" ".join(s), HASH_SEED) for s in shingles], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
         total += len(h)
-    return int(np.packbits(2 * votes > total, bitorder="little").view("<u8")[0])
+        for k in range(family):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * _MIX + np.uint64(k)
+                h ^= h >> np.uint64(29)
+            votes[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * votes > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprint_batches(family: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.concatenate([fingerprint(t.as_py(), family) for t in b.column(1)]) if b.num_rows else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, family, dtype=np.int32)), pa.array(fps.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "fps"])
 
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, family: int = 1) -> DataFrame:
+    """(doc_id, fps, fp): one row per document, its fingerprints as signed longs and the first of them."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return plain.mapInArrow(_fingerprint_batches(family), "doc_id long, fps array<long>").withColumn("fp", F.col("fps")[0])
 
 
 def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -113,10 +126,10 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, fp = cols[:2], cols[2].view(np.uint64)
         new = np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])]
         rows, roots = link_rows(fp, np.cumsum(new))
-        return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp[roots].view(np.int64))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[3][rows]), pa.array(cols[3][roots])], names=["u", "v"])
 
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
@@ -130,43 +143,65 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(rest)
 
 
-def _bucket_keys(fp) -> F.Column:
+def _bucket_keys(seed, fp) -> F.Column:
     blocks, at = [], 0
     for bits in BLOCKS:
         blocks.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1)))
         at += bits
-    keys = []
-    for a in range(len(BLOCKS)):
-        for b in range(a + 1, len(BLOCKS)):
-            keys.append(F.shiftleft(F.lit(len(keys)).cast("long"), 40) + F.shiftleft(blocks[a], 20) + blocks[b])
-    return F.array(*keys)
+    pairs = [(a, b) for a in range(len(BLOCKS)) for b in range(a + 1, len(BLOCKS))]
+    table = lambda k: F.shiftleft((seed * len(pairs) + k).cast("long"), 40)
+    return F.array(*[table(k) + F.shiftleft(blocks[a], 20) + blocks[b] for k, (a, b) in enumerate(pairs)])
+
 
+def links(nodes: DataFrame) -> DataFrame:
+    """(u, v): links that span each set of nodes joined by steps of MAX_BITS or fewer in one of their fingerprints.
 
-def links(distinct_fp: DataFrame) -> DataFrame:
-    """(u, v): links that span each set of fingerprints joined by steps of MAX_BITS or fewer. Input: distinct longs in fp."""
-    dealt = distinct_fp.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("bucket"))
+    Input: fp, the node, and fps, its fingerprints; distinct rows.
+    """
+    each = nodes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
+    dealt = each.select("node", "fp", F.explode(_bucket_keys(F.col("seed"), F.col("fp"))).alias("bucket"))
     shared = dealt.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
-    salted = dealt.join(shared, "bucket").withColumn("salt", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
+    salted = dealt.join(shared, "bucket").withColumn("salt", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     tiled = salted.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "bucket", F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile"), "fp"
+        "bucket", F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile"), "fp", "node"
     )
-    n = int(distinct_fp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tiled.repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_link_batches, "u long, v long")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+def simhash_components(docs: DataFrame, family: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id joined by links, its own included).
 
+    With a larger ``family`` documents have that many fingerprints and a link in any of them counts, which
+    finds more of the near copies whose fingerprints differ in a few more bits by chance.
+
     Nulls: a null text counts as empty (fingerprint 0, linked like any other); a row with a null doc_id
     has a component too, whose id is the least non-null doc_id in it, or null if there is none. Repeated
     rows each return a row. Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    fps = saved(fingerprints(docs), "fingerprints")
+    fps = saved(fingerprints(docs, family), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    stars = components(links(reps.select("fp")))
+    stars = components(links(fps.select("fp", "fps").distinct()))
     member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     of_linked = member.join(reps, "fp")
     least = of_linked.groupBy("root").agg(F.min("rep").alias("least"))
     found = of_linked.join(least, "root").select("fp", "least")
     named = reps.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, family: int = 8) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps its least doc_id; all columns.
+
+    Of rows that repeat that doc_id one stays (its least text); a component without any doc_id keeps nothing
+    to go by, so its rows all stay.
+    """
+    comps = simhash_components(docs, family)
+    kept = saved(comps.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
+    stay = docs.join(kept, "doc_id")
+    if kept.where("copies > 1").limit(1).count():
+        first = stay.where("copies > 1").groupBy("doc_id").agg(F.struct(*[F.min_by(F.col(c), F.struct(F.col("text"), F.struct(*[F.col(o) for o in docs.columns]))).alias(c) for c in docs.columns]).alias("row"))
+        stay = stay.where("copies = 1").select(*docs.columns).unionByName(first.select("row.*").select(*docs.columns))
+    nameless = comps.where("component_id is null").limit(1).count()
+    stay = stay.select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id is null")) if nameless else stay

@@ -14,12 +14,14 @@ their worst window and another spread. Subwords seen in fewer than MIN_TEXTS tex
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.labelled import scored, training_sample
+from ledgerloom.llm.labelled import in_groups, scored, training_sample
 
 WORD = re.compile(r"\w+")
 MAX_WORD = 40
@@ -188,3 +190,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     columns of either table are ignored; empty tables give empty results.
     """
     return scored(docs, train_toxicity(docs, labels).score, threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns kept; the fit is that of ``toxicity``."""
+    model, at = train_toxicity(docs, labels), docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            scores = [model.score(g) for g in in_groups(b.column(at).fill_null("").to_pylist())]
+            yield b.filter(pa.array(np.concatenate(scores) < threshold)) if scores else b
+
+    return docs.mapInArrow(run, docs.schema)
