@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("ledgerloom.plans.catalog_scalar", "ledgerloom.plans.catalog_relational")
+MODULES: tuple[str, ...] = ("ledgerloom.plans.catalog_scalar", "ledgerloom.plans.catalog_relational", "ledgerloom.plans.catalog_composite")
 FLAGSHIP = "agg_01_activity_pulse"
 
 _queries: dict[str, Query] = {}
