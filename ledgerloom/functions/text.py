@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed values of the data model.
 EVENT_TYPES = ("earnings", "press_release", "presentation", "filing", "webcast", "conference", "shareholder_meeting", "dividend", "other")
 GENERIC_TITLES = ("", "investor relations", "ir", "home", "untitled", "error", "404", "403 forbidden", "404 not found", "not found", "page not found", "access denied", "just a moment...")
+MAGIC = ("%PDF-", "PK\x03\x04", "GIF8", "ID3", "OggS", "fLaC")
+SPEAKER = r"(?i)(?:^|\n)\s*(?:operator\s*[:：]|q\s*[—\-–]|a\s*[—\-–]|[A-Z][a-z]+ [A-Z][a-z]+\s*[:：—\-–]|[A-Z][A-Z .]+\s*[:：])"
+EXCHANGE_TAG = r"(?i)(\((?:NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX)[^):]{0,15}:\s*[^)]{1,40}\))"
 WALL_MARKERS = (
     "just a quick security check", "verifying the security", "ray id", "request unsuccessful", "access denied", "attention required", "checking your browser", "enable javascript and cookies",
     "challenge-platform", "cf-chl", "__cf_chl", "cf-turnstile", "turnstile", "_incapsula_", "確認しています", "しばらくお待ち", "セキュリティチェック", "アクセスが拒否", "安全验证", "请稍候", "正在验证", "拒绝访问", "보안 확인", "잠시만 기다",
@@ -69,8 +72,11 @@ def is_thin(c: Column) -> Column:
 def looks_binary(c: Column) -> Column:
     """A known magic prefix, or more than 5 % control or replacement characters among the first 2000."""
     head = F.substring(c, 1, 2000)
-    odd = F.regexp_count(head, F.lit("[\\x00-\\x08\\x0E-\\x1F\uFFFD]"))
-    return F.coalesce(c.startswith("%PDF") | c.startswith("PK\x03\x04") | c.startswith("{\\rtf") | (odd > 0.05 * F.length(head)), F.lit(False))
+    odd = F.regexp_count(head, F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\uFFFD]"))
+    magic = F.lit(False)
+    for m in MAGIC:
+        magic = magic | c.startswith(m)
+    return F.coalesce(magic | (odd > 0.05 * F.length(head)), F.lit(False))
 
 
 def cjk_ratio(c: Column) -> Column:
@@ -115,7 +121,7 @@ def status_reason(c: Column) -> Column:
 
 def exchange_tags(c: Column) -> Column:
     """Parenthesised exchange tags such as (NYSE: ABC), distinct, sorted, ten at most."""
-    tags = F.regexp_extract_all(c, F.lit(r"(\((?:NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX)[^)]{0,60}\))"), 1)
+    tags = F.regexp_extract_all(c, F.lit(EXCHANGE_TAG), 1)
     return F.slice(F.array_sort(F.array_distinct(tags)), 1, 10)
 
 
@@ -127,3 +133,8 @@ def tickers(c: Column) -> Column:
 
 def search_keys(keys: Column) -> Column:
     return F.slice(F.filter(F.transform(keys, lambda k: F.trim(k)), lambda k: F.length(k) >= 3), 1, 3)
+
+
+def is_transcript_like(c: Column) -> Column:
+    """Two speaker turns or more."""
+    return F.coalesce(F.regexp_count(c, F.lit(SPEAKER)) >= 2, F.lit(False))

@@ -25,7 +25,13 @@ TRACKER = r"(?i)/Tracker\?|/track(er)?/[^/]*\?|//(link|click|ct|email|e|mailer)\
 FILINGS = r"(?i)/(sec-filings|edgar|financials/(sec|quarterly|annual|financial-results)|regulatory)"
 BINARY_ROUTE = r"(?i)\.(pdf|pptx?|docx?|xlsx?|csv|zip|rar|7z|gz|tgz|mp3|wav|m4a|aac|mp4|mov|avi|mkv|webm|ics|vcs|epub)(\?|#|$)|/(static-files|content/dam|files/doc_financials|files/doc_downloads)/"
 EVENTS_HUB = r"(?i)/(events?|events-and-presentations|events-calendar|ir-calendar|calendar|webcasts?|presentations?|news-and-events|upcoming-events?|investor-events?)(/|\?|#|$|-|\.)"
-VIDEO_HOSTS = r"(?i)(?:^|\.)(?:youtube\.com|youtu\.be|vimeo\.com|wistia\.com|brightcove\.net|q4inc\.com|webcasts?\.com|media-server\.com|on24\.com|choruscall\.com|zoom\.us|vevent\.com|royalcast\.com|talkpoint\.com|webcaster4\.com|viavid\.com)$"
+VIDEO_HOSTS = (
+    r"(?i)(?:^|\.)(?:youtube\.com|youtu\.be|vimeo\.com|wistia\.com|brightcove\.net|q4inc\.com|webcasts?\.com|veracast\.com|open-exchange\.net|issuerdirect\.com|media-server\.com|on24\.com|choruscall\.com|wsw\.com|"
+    r"teletogether\.com|kvgo\.com|metameetings\.net|webinar\.net|irwebmeeting\.com|irwebcasting\.com|summitcast\.com|viavid\.com|webcaster4\.com|webcast-eqs\.com|talkpoint\.com|royalcast\.com|c-conf\.com|vevent\.com|zoom\.us)$"
+)
+LEAF = r"(?i)/(?:event|press[-_]?release|news[-_]?release|news|article|story|presentation|webcast)[-_]?details?/|/details?/\d|/(?:news|press|events?)[-_]?releases?/\d{4}/|/\d{4}-\d{2}-\d{2}-|/(?:webcast|event)-\d{4}"
+YEAR_CONTROL = r"""(?i)(?:<option[^>]*>\s*|<(?:option|button|a|li)[^>]*(?:value|data-year|data-filter)\s*=\s*["']?)(20[0-2][0-9])\b"""
+MORE_CONTROL = r"""(?i)(?:load|show|view|see)[\s_-]*more|rel\s*=\s*["']next["']|class\s*=\s*["'][^"']*pagination"""
 EXTENSION_KINDS = (("pdf", ("pdf",)), ("pptx", ("pptx", "ppt")), ("docx", ("docx", "doc")), ("xlsx", ("xlsx", "xls")), ("audio", ("mp3", "wav", "m4a", "aac", "flac", "ogg", "opus", "wma")), ("video", ("mp4", "mov", "webm", "mkv", "m4v")))
 NON_CONTENT = ("zip", "7z", "rar", "tar", "gz", "ics", "vcs", "ical", "dmg", "exe", "pkg")
 CONTENT_TYPES = (
@@ -138,17 +144,33 @@ def is_opaque_download(u: Column) -> Column:
 
 
 def video_id(u: Column) -> Column:
-    """The id of a video address in its short, watch, embed, shorts or live form; empty if there is none."""
-    return F.regexp_extract(u, r"(?i)(?:youtu\.be/|youtube\.com/(?:watch\?(?:[^#]*&)?v=|embed/|shorts/|live/))([A-Za-z0-9_-]{11})", 1)
+    """The id of a video address in its short, watch, embed, shorts, live or v form; empty if there is none."""
+    short = F.regexp_extract(u, r"(?i)^https?://youtu\.be/([A-Za-z0-9_-]{11})(?:[/?#]|$)", 1)
+    site = u.rlike(r"(?i)^https?://(?:www\.|m\.)?(?:music\.youtube\.com|youtube\.com|youtube-nocookie\.com)(?:[/?#]|$)")
+    watch = F.regexp_extract(query(u), "(?:^|&)v=([A-Za-z0-9_-]{11})(?:&|$)", 1)
+    inner = F.regexp_extract(path(u), "/(?:embed|shorts|live|v)/([A-Za-z0-9_-]{11})", 1)
+    return F.when(short != "", short).when(site & (watch != ""), watch).when(site, inner).otherwise("")
+
+
+def should_expand(u: Column, html: Column) -> Column:
+    """Whether a page has a year filter (two years or more) or a control for more, unless its address names a single item."""
+    years = F.array_distinct(F.regexp_extract_all(html, F.lit(YEAR_CONTROL), 1))
+    return ~u.rlike(LEAF) & ((F.size(years) >= 2) | html.rlike(MORE_CONTROL))
+
+
+def is_public_host(h: Column) -> Column:
+    """Whether a host is neither local nor a literal address of a private, loopback or link-local range."""
+    private = r"^(localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\..*|\[?(::1|f[cd].*|fe80.*)\]?)$"
+    return (F.coalesce(h, F.lit("")) != "") & ~F.regexp_replace(F.lower(h), ":[0-9]+$", "").rlike(private)
 
 
 def dashboard_kind(u: Column) -> Column:
-    low = F.lower(u)
+    low = F.lower(F.coalesce(u, F.lit("")))
     return (
         F.when(low.rlike(r"\.pdf(\?|#|$)"), "pdf")
-        .when(low.rlike(r"\.(mp3|wav|m4a|aac|ogg)(\?|#|$)"), "audio")
-        .when(low.rlike(r"\.(mp4|mov|webm|m3u8)(\?|#|$)|youtube\.com|youtu\.be|vimeo\.com"), "video")
-        .when(low.rlike(r"\.pptx?(\?|#|$)"), "slides")
+        .when(low.rlike(r"\.(mp3|wav|m4a|aac)(\?|#|$)"), "audio")
+        .when(low.rlike(r"\.(mp4|mov|webm)(\?|#|$)"), "video")
+        .when(low.rlike(r"\.(pptx?|key)(\?|#|$)"), "slides")
         .otherwise("page")
     )
 

@@ -134,3 +134,11 @@ def boost(queue: DataFrame, events: DataFrame, now: Column, most_events: int, li
     fresh = F.col("last_scanned_at").isNull() | (F.col("last_scanned_at") < now - F.expr("INTERVAL 7 DAYS"))
     picked = q.where(F.col("n_events") <= most_events).orderBy("n_events", "id").limit(limit)
     return picked.withColumn("priority", F.lit(5)).withColumn("due_at", F.when(fresh, now).otherwise(F.col("due_at")))
+
+
+def has_room(readings: dict[str, tuple[Column, float]]) -> Column:
+    """Whether every reading is within its limit; a missing one counts as within."""
+    out = F.lit(True)
+    for value, limit in readings.values():
+        out = out & F.coalesce(value <= limit, F.lit(True))
+    return out

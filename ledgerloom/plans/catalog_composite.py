@@ -54,6 +54,20 @@ def _(spark, d):
     return spark.read.schema("item_id long, text string").option("pathGlobFilter", "part*.json").json(f"{folder}/out")
 
 
+@query("src_06_trace_tree", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS n_html, (CASE WHEN c_custkey % 2 = 0 THEN 7 END)::BIGINT AS n_content FROM customer WHERE c_custkey < 20")
+def _(spark, d):
+    folder = scratch(spark, "traces")
+    c = load(spark, d, "customer").where("c_custkey < 20")
+    store = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for r in c.select("c_custkey", "c_name").collect():  # a fixture of twenty folders
+        for name, body in (("meta.json", f'{{"id": "{r.c_custkey}"}}'), ("page.html", r.c_name), *((("content.txt", "content"),) if r.c_custkey % 2 == 0 else ())):
+            out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/a/{r.c_custkey}/{name}"))
+            out.write(bytearray(body.encode()))
+            out.close()
+    t = files.read_traces(spark, folder)
+    return t.select(F.get_json_object("meta", "$.id").alias("id"), "n_html", "n_content")
+
+
 @query("src_07_tsv_snapshot", WQ + "SELECT id, type, status FROM work_queue WHERE priority = 0")
 def _(spark, d):
     folder = scratch(spark, "tsv")
@@ -86,6 +100,23 @@ def _(spark, d):
     return t.select("c_custkey", "t.table_idx", F.array_join("t.headers", "|").alias("headers"), F.array_join(F.flatten("t.rows"), "|").alias("cells"))
 
 
+@query("src_12_coordinate_columns", "WITH w AS (SELECT l_suppkey, l_linenumber * 10 + l_quantity / 50 AS x FROM lineitem), f AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY l_suppkey ORDER BY x) > 4.0 THEN 1 ELSE 0 END AS new FROM w), i AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS island FROM f), c AS (SELECT l_suppkey, island, count(*) AS n, max(x) AS edge FROM i GROUP BY 1, 2 HAVING count(*) >= 3) SELECT l_suppkey, count(*) AS n_columns, max(edge) AS last_edge FROM c GROUP BY 1 HAVING count(*) >= 2")
+def _(spark, d):
+    from ledgerloom.operators import ordering
+
+    words = load(spark, d, "lineitem").select("l_suppkey", (F.col("l_linenumber") * 10 + F.col("l_quantity") / 50).alias("x"))
+    columns = ordering.islands(words, ["l_suppkey"], "x", 4.0).groupBy("l_suppkey", "island").agg(F.count("*").alias("n"), F.max("x").alias("edge")).where("n >= 3")
+    return columns.groupBy("l_suppkey").agg(F.count("*").alias("n_columns"), F.max("edge").alias("last_edge")).where("n_columns >= 2")
+
+
+@query("src_13_14_reader_ladder", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 3 = 1 THEN 'ocr' ELSE 'empty' END AS via, CASE WHEN doc_id % 3 < 2 THEN length(text) ELSE 0 END::BIGINT AS n_chars FROM documents WHERE trim(text) <> ''")
+def _(spark, d):
+    x = load(spark, d, "documents").where(F.trim("text") != "")
+    tiers = {"text": F.when(F.col("doc_id") % 3 == 0, F.col("text")), "ocr": F.when(F.col("doc_id") % 3 == 1, F.col("text")), "legacy": F.lit(" ")}
+    via, body = files.reader_ladder(tiers)
+    return x.select("doc_id", via.alias("via"), F.length(body).cast("long").alias("n_chars"))
+
+
 @query("src_15_magic_bytes", "SELECT c_custkey, (['pdf', 'html', 'xlsx', 'docx', 'guess'])[(c_custkey % 5 + 1)::INT] AS fmt FROM customer")
 def _(spark, d):
     raw = F.element_at(F.array(F.lit(b"%PDF-1.7"), F.lit(b" <!DOCTYPE html>"), F.lit(b"PK\x03\x04aaxl/w"), F.lit(b"PK\x03\x04aaword/"), F.lit(b"plain")), (F.col("c_custkey") % 5 + 1).cast("int"))
@@ -97,6 +128,15 @@ def _(spark, d):
     return load(spark, d, "segments").groupBy(F.col("event_id").alias("conv_id")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("src_17_batch_upsert", EV + "SELECT company_id, run_id, min(event_id) AS event_id, count(DISTINCT nullif(source_url, '')) AS sources FROM disc_events GROUP BY 1, 2")
+def _(spark, d):
+    from ledgerloom.operators import upserts
+
+    e = load(spark, d, "disc_events").select("company_id", "run_id", "event_id", F.filter(F.array("source_url"), lambda u: u != "").alias("sources"))
+    out = upserts.merge_upsert(e.where("event_id < 500"), e.where("event_id >= 500"), ["company_id", "run_id"], "event_id", ["sources"], [], [])
+    return out.select("company_id", "run_id", "event_id", F.size("sources").cast("long").alias("sources"))
+
+
 @query("src_18_page_snapshot", UL + "SELECT url, max(event_id) AS event_id FROM url_ledger GROUP BY 1")
 def _(spark, d):
     from ledgerloom.operators import upserts
@@ -146,6 +186,45 @@ def _(spark, d):
     return aggregates.activity_feed(media(load(spark, d, "disc_events")), load(spark, d, "companies"), ts(EVENTS_NOW), "1 DAY", 50)
 
 
+@query("txt_21_verdict_reason", "SELECT 'down' AS verdict, 'no scan for ever min' AS reason")
+def _(spark, d):
+    nothing = load(spark, d, "scan_log").where("false"), load(spark, d, "disc_events").where("false"), load(spark, d, "work_queue").where("false")
+    return aggregates.fleet_health(*nothing, ts(EVENTS_NOW), ts(QUEUE_NOW)).select("verdict", "reason")
+
+
+@query("jon_14_update_from", WQ + "SELECT id, CASE WHEN r.rk IS NULL THEN priority ELSE r.rk END AS priority FROM work_queue LEFT JOIN (SELECT id, row_number() OVER (ORDER BY due_at, id) AS rk FROM work_queue WHERE status = 'queued' AND type = 'full') r USING (id)")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    q = load(spark, d, "work_queue")
+    ranked = q.where("status = 'queued' and type = 'full'").select("id", F.row_number().over(Window.orderBy("due_at", "id")).alias("rk"))
+    return q.join(ranked, "id", "left").select("id", F.coalesce("rk", "priority").alias("priority"))
+
+
+@query("srt_04_frontier_pop", UL + "SELECT event_id, url FROM (SELECT event_id, url, row_number() OVER (PARTITION BY event_id ORDER BY max(line) DESC, url) AS rk FROM url_ledger GROUP BY 1, 2) WHERE rk <= 2")
+def _(spark, d):
+    from ledgerloom.operators import ordering
+
+    frontier = load(spark, d, "url_ledger").groupBy("event_id", "url").agg(F.max("line").alias("score"))
+    return ordering.top_per_group(frontier, ["event_id"], [F.desc("score"), "url"], 2).select("event_id", "url")
+
+
+@query("srt_12_worst_covered_first", with_tables("companies", "disc_events") + "SELECT company_id, coalesce(n, 0) AS n FROM companies LEFT JOIN (SELECT company_id, count(*) AS n FROM disc_events GROUP BY 1) USING (company_id) ORDER BY 2, 1 LIMIT 30")
+def _(spark, d):
+    from ledgerloom.operators import joins
+
+    return joins.left_counts(load(spark, d, "companies"), load(spark, d, "disc_events"), "company_id", "n").orderBy("n", "company_id").limit(30).select("company_id", "n")
+
+
+@query("ups_18_publish_singleton", "SELECT 1 AS id, 8400.0::DOUBLE AS t_star_s, 'vlm' AS binding")
+def _(spark, d):
+    folder = scratch(spark, "state")
+    state = lambda t, b: spark.sql(f"SELECT 1 AS id, {t}D AS t_star_s, '{b}' AS binding")
+    for t, b in ((9000.0, "render"), (8400.0, "vlm")):
+        state(t, b).coalesce(1).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 # --- Text that needs Python ---
 
 
@@ -454,6 +533,17 @@ def _(spark, d):
     return control.paced_starts(r, "host", "at_s", 1.5).select("id", "start_s")
 
 
+@query("ctl_09_public_hosts", "SELECT c_custkey, c_custkey % 4 = 0 AS public FROM customer")
+def _(spark, d):
+    hosts = F.element_at(F.array(*map(F.lit, ("ir.example.com", "127.0.0.1:80", "172.20.1.1", "LOCALHOST"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return load(spark, d, "customer").select("c_custkey", urls.is_public_host(hosts).alias("public"))
+
+
+@query("ctl_12_capacity_gate", "SELECT event_id, event_id % 100 <= 85 AND value <= 200 AS ok FROM events")
+def _(spark, d):
+    return load(spark, d, "events").select("event_id", control.has_room({"mem_pct": (F.col("event_id") % 100, 85), "wait": (F.col("value"), 200)}).alias("ok"))
+
+
 @query("ctl_10_sliding_window_rate", "SELECT event_id AS id, count(*) OVER (PARTITION BY user_id % 10 ORDER BY event_id RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
 def _(spark, d):
     r = load(spark, d, "events").selectExpr("event_id AS id", "user_id % 10 AS ip", "event_id AS at_s")

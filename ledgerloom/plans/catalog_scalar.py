@@ -216,11 +216,10 @@ def _(spark, d):
 
 @query(
     "flt_22_expandable",
-    r"SELECT page_id, len(list_distinct(regexp_extract_all(html, '(?:19|20)\d{2}'))) >= 2 OR regexp_matches(html, '(?i)load more|show more') AS expandable FROM pages WHERE NOT regexp_matches(url, '(?i)\.(pdf|html?)(\?|#|$)')",
+    "SELECT page_id, NOT regexp_matches(url, '" + urls.LEAF + "') AND (len(list_distinct(regexp_extract_all(html, '" + urls.YEAR_CONTROL.replace("'", "''") + "', 1))) >= 2 OR regexp_matches(html, '" + urls.MORE_CONTROL.replace("'", "''") + "')) AS expandable FROM pages",
 )
 def _(spark, d):
-    years = F.array_distinct(F.regexp_extract_all("html", F.lit(r"((?:19|20)\d{2})"), 1))
-    return load(spark, d, "pages").where(~F.col("url").rlike(r"(?i)\.(pdf|html?)(\?|#|$)")).select("page_id", ((F.size(years) >= 2) | F.col("html").rlike("(?i)load more|show more")).alias("expandable"))
+    return load(spark, d, "pages").select("page_id", urls.should_expand(F.col("url"), F.col("html")).alias("expandable"))
 
 
 @query(
@@ -233,7 +232,7 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", text.is_challenge(F.col("text")).alias("challenge"), text.is_thin(F.col("text")).alias("thin"))
 
 
-@query("flt_24_binary_text", r"SELECT doc_id, starts_with(text, '%PDF') OR starts_with(text, '{\rtf') OR len(regexp_extract_all(left(text, 2000), '[\x00-\x08\x0E-\x1F]')) > 0.05 * length(left(text, 2000)) AS looks_binary FROM documents")
+@query("flt_24_binary_text", "SELECT doc_id, regexp_matches(text, '^(%PDF-|PK\\x03\\x04|GIF8|ID3|OggS|fLaC)') OR len(regexp_extract_all(left(text, 2000), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) > 0.05 * length(left(text, 2000)) AS looks_binary FROM documents")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", text.looks_binary(F.col("text")).alias("looks_binary"))
 
@@ -343,7 +342,7 @@ def _(spark, d):
 @query(
     "txt_22_exchange_tags",
     r"""WITH t AS (SELECT c_custkey, 'Acme (NYSE: A' || c_custkey % 9 || ') and (TSX: B; NASDAQ: C' || c_custkey % 7 || ') with (NYSE: A' || c_custkey % 9 || ') once more (Paris)' AS body FROM customer)
-  SELECT c_custkey, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '\((?:NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX)[^)]{0,60}\)')))[1:10], ' ') AS tags FROM t""",
+  SELECT c_custkey, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '(?i)\((?:NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX)[^):]{0,15}:\s*[^)]{1,40}\)')))[1:10], ' ') AS tags FROM t""",
 )
 def _(spark, d):
     k = lambda n: (F.col("c_custkey") % n).cast("string")
@@ -364,12 +363,15 @@ def _(spark, d):
 
 @query(
     "txt_24_transcript_like",
-    r"WITH c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) SELECT conv_id, len(regexp_extract_all(body, '(?m)^(user|assistant|system): ')) >= 2 AS transcript FROM c",
+    r"WITH c AS (SELECT conv_id, string_agg('OPERATOR ' || upper(role) || ': ' || left(text, 5), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) SELECT conv_id, len(regexp_extract_all(body, '"
+    + text.SPEAKER
+    + "')) >= 2 AS transcript FROM c",
 )
 def _(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))))
+    line = F.concat(F.lit("OPERATOR "), F.upper("role"), F.lit(": "), F.substring("text", 1, 5)).alias("line")
+    turns = F.array_sort(F.collect_list(F.struct("turn", line)))
     body = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("body"))
-    return body.select("conv_id", (F.regexp_count("body", F.lit("(?m)^(user|assistant|system): ")) >= 2).alias("transcript"))
+    return body.select("conv_id", text.is_transcript_like(F.col("body")).alias("transcript"))
 
 
 @query(
@@ -477,8 +479,8 @@ def _(spark, d):
 @query(
     "url_10_dashboard_kind",
     EACH_URL
-    + r""" SELECT event_id, pos, CASE WHEN regexp_matches(lower(url), '\.pdf(\?|#|$)') THEN 'pdf' WHEN regexp_matches(lower(url), '\.(mp3|wav|m4a|aac|ogg)(\?|#|$)') THEN 'audio'
-  WHEN regexp_matches(lower(url), '\.(mp4|mov|webm|m3u8)(\?|#|$)|youtube\.com|youtu\.be|vimeo\.com') THEN 'video' WHEN regexp_matches(lower(url), '\.pptx?(\?|#|$)') THEN 'slides' ELSE 'page' END AS k FROM urls""",
+    + r""" SELECT event_id, pos, CASE WHEN regexp_matches(lower(url), '\.pdf(\?|#|$)') THEN 'pdf' WHEN regexp_matches(lower(url), '\.(mp3|wav|m4a|aac)(\?|#|$)') THEN 'audio'
+  WHEN regexp_matches(lower(url), '\.(mp4|mov|webm)(\?|#|$)') THEN 'video' WHEN regexp_matches(lower(url), '\.(pptx?|key)(\?|#|$)') THEN 'slides' ELSE 'page' END AS k FROM urls""",
 )
 def _(spark, d):
     return each_url(spark, d).select("event_id", "pos", urls.dashboard_kind(F.col("url")).alias("k"))

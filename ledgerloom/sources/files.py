@@ -76,3 +76,12 @@ def whole_batches(spark: SparkSession, root: str, name: str) -> DataFrame:
 def event_report(events: DataFrame, width: int = 40) -> DataFrame:
     """Fixed-width lines: date, type, title."""
     return events.select(F.format_string(f"%-10s  %-20s  %-{width}s", F.coalesce("event_date", F.lit("")), "event_type", F.substring("title", 1, width)).alias("line"))
+
+
+def reader_ladder(tiers: dict[str, Column]) -> tuple[Column, Column]:
+    """(via, text) of the first tier, in order, whose text is not blank; empty if none is."""
+    via, body = F.lit("empty"), F.lit("")
+    for name, text in reversed(tiers.items()):
+        some = F.trim(F.coalesce(text, F.lit(""))) != ""
+        via, body = F.when(some, name).otherwise(via), F.when(some, text).otherwise(body)
+    return via, body
