@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import let
+
 #: Fixed values of the data model.
 TRACKING_PARAMS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_name", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "mc_cid", "mc_eid",
@@ -61,20 +63,24 @@ def query(u: Column) -> Column:
     return F.regexp_extract(_with_scheme(u), r"://[^?#]*\?([^#]*)", 1)
 
 
+def _parts(u: Column) -> Column:
+    """scheme, netloc, path and query of an address, each read once."""
+    full = _with_scheme(u)
+    return F.struct(
+        F.lower(F.regexp_extract(full, "^([^:]+)://", 1)).alias("scheme"), netloc(u).alias("netloc"), path(u).alias("path"), query(u).alias("query")
+    )
+
+
 def canon_url(u: Column) -> Column:
     """https if no scheme; scheme and host in lower case; no fragment, no trailing slashes; the query stays."""
-    full = _with_scheme(u)
-    scheme = F.lower(F.regexp_extract(full, "^([^:]+)://", 1))
-    q = query(u)
-    return F.concat(scheme, F.lit("://"), netloc(u), F.regexp_replace(path(u), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return let(_parts(u), lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], F.regexp_replace(p["path"], "/+$", ""), F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")))
 
 
 def canon_url_media(u: Column) -> Column:
     """As ``canon_url``, with tracking parameters dropped and the rest sorted."""
-    pairs = F.filter(F.split(query(u), "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING_PARAMS))
-    kept = F.array_join(F.array_sort(pairs), "&")
-    base = F.regexp_replace(canon_url(u), r"\?.*$", "")
-    return F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    kept = lambda q: F.array_join(F.array_sort(F.filter(F.split(q, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING_PARAMS))), "&")
+    base = lambda p: F.concat(p["scheme"], F.lit("://"), p["netloc"], F.regexp_replace(p["path"], "/+$", ""))
+    return let(_parts(u), lambda p: let(kept(p["query"]), lambda k: F.concat(base(p), F.when(k != "", F.concat(F.lit("?"), k)).otherwise(""))))
 
 
 def registrable_domain(h: Column) -> Column:
@@ -101,8 +107,12 @@ def boosted_score(u: Column, score: Column) -> Column:
 
 
 def extension(u: Column) -> Column:
-    tail = F.regexp_extract(path(u), "([^/]*)$", 1)
-    return F.when(tail.contains("."), F.lower(F.regexp_extract(tail, r"\.([^.]*)$", 1))).otherwise("")
+    return _extension(path(u))
+
+
+def _extension(path: Column) -> Column:
+    tail = F.regexp_extract(path, "([^/]*)$", 1)
+    return F.lower(F.regexp_extract(tail, r"\.([^.]*)$", 1))
 
 
 def unwrap_markdown(u: Column) -> Column:
@@ -113,22 +123,27 @@ def unwrap_markdown(u: Column) -> Column:
 
 def unwrap_viewer(u: Column) -> Column:
     """A document viewer's target, if it is an absolute address of a known document type; else the url itself."""
-    raw = F.regexp_extract(query(u), "(?:^|&)(?:src|file|url|document|pdf)=([^&]*)", 1)
-    target = F.try_url_decode(raw)
-    known = extension(target).isin(*[e for _, es in EXTENSION_KINDS for e in es])
     viewer = u.rlike(r"(?i)(pdf-?viewer|/viewer\.(aspx|html?|php)|/web/viewer\.html|officeapps\.live\.com)")
-    return F.when(viewer & target.rlike("(?i)^https?://") & known, target).otherwise(u)
+    known = [e for _, es in EXTENSION_KINDS for e in es]
+    raw = F.regexp_extract(query(u), "(?:^|&)(?:src|file|url|document|pdf)=([^&]*)", 1)
+    target = let(F.try_url_decode(raw), lambda t: F.when(t.rlike("(?i)^https?://") & extension(t).isin(*known), t))
+    return F.when(viewer, F.coalesce(target, u)).otherwise(u)
 
 
 def classify(u: Column) -> Column:
     """html, pdf, pptx, docx, xlsx, audio, video or other, from the address alone."""
-    t = unwrap_viewer(F.trim(F.coalesce(u, F.lit(""))))
-    ext = extension(t)
-    out = F.when(~F.lower(t).rlike("^https?://"), "other").when(t.rlike(ASSET), "other").when(F.regexp_replace(netloc(t), ":.*$", "").rlike(VIDEO_HOSTS), "video").when(ext.isin(*NON_CONTENT), "other")
-    for kind, exts in EXTENSION_KINDS:
-        out = out.when(ext.isin(*exts), kind)
-    exported = path(t).rlike("(?i)/pdf/?$") | query(t).rlike("(?i)(?:^|&)(?:as[_-]?pdf|format=pdf|type=pdf|download=pdf)(?:=[^&]*)?(?:&|$)")
-    return out.when((ext == "") & exported, "pdf").otherwise("html")
+    return let(unwrap_viewer(F.trim(F.coalesce(u, F.lit("")))), lambda t: F.when(~t.rlike("(?i)^https?://") | t.rlike(ASSET), "other").otherwise(let(_parts(t), _kind)))
+
+
+def _kind(p: Column) -> Column:
+    def by_extension(ext: Column) -> Column:
+        out = F.when(ext.isin(*NON_CONTENT), "other")
+        for kind, exts in EXTENSION_KINDS:
+            out = out.when(ext.isin(*exts), kind)
+        exported = p["path"].rlike("(?i)/pdf/?$") | p["query"].rlike("(?i)(?:^|&)(?:as[_-]?pdf|format=pdf|type=pdf|download=pdf)(?:=[^&]*)?(?:&|$)")
+        return out.when((ext == "") & exported, "pdf").otherwise("html")
+
+    return F.when(F.regexp_replace(p["netloc"], ":.*$", "").rlike(VIDEO_HOSTS), "video").otherwise(let(_extension(p["path"]), by_extension))
 
 
 def classify_content_type(c: Column, fallback: str = "html") -> Column:
