@@ -8,8 +8,9 @@ Pairs at Hamming distance 3 or less are found without comparing all pairs:
 3. Inside a key's group, each fingerprint has a row of Hamming distances to reference fingerprints
    (pivots). By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so a pair whose largest coordinate
    difference exceeds 3 is discarded; survivors are verified by XOR and bit count.
-4. A group of more than ``TILE`` fingerprints is dealt into tiles of salted halves, each a bounded task.
-   A tile returns a spanning forest of its links, never all its pairs.
+4. A group of more than ``TILE`` fingerprints is passed on as it streams by, and dealt into tiles, each of
+   two salted parts and so of bounded size. Groups and tiles return a spanning forest of their links, never
+   all their pairs.
 """
 
 from __future__ import annotations
@@ -118,20 +119,62 @@ def link_rows(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows, label[rows]
 
 
+def _spanning(key: list[np.ndarray], fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes whose fingerprints are near within groups of equal keys; rows of a group stand together."""
+    new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in key])]
+    rows, roots = link_rows(fp.view(np.uint64), np.cumsum(new))
+    return node[rows], node[roots]
+
+
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, tile); a tile that a batch cuts off waits for the next one."""
-    rest: list[np.ndarray] | None = None
+    """(u, v, bucket): links of buckets of at most TILE rows, bucket null; and the rows (node, fp, bucket) of larger ones.
+
+    Rows come sorted by bucket. The last bucket of a batch waits for the next one, unless it is too large already.
+    """
+    rest = [np.zeros(0, np.int64)] * 3
+    large: int | None = None
+
+    def out(u: np.ndarray, v: np.ndarray, bucket: np.ndarray | None) -> pa.RecordBatch:
+        last = pa.nulls(len(u), pa.int64()) if bucket is None else pa.array(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), last], names=["u", "v", "bucket"])
+
+    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, fp, node = cols
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        size = np.diff(np.r_[starts, len(bucket)])
+        over = np.repeat(size > TILE, size) | (bucket == large if large is not None else np.zeros(len(bucket), bool))
+        if over.any():
+            yield out(node[over], fp[over], bucket[over])
+        small = ~over & np.repeat(size > 1, size)
+        if small.any():
+            yield out(*_spanning([bucket[small]], fp[small], node[small]), None)
+
+    for b in batches:
+        cols = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for c, r in enumerate(rest)]
+        if not len(cols[0]):
+            continue
+        start = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        if start:
+            yield from emit([c[:start] for c in cols])
+        rest = [c[start:] for c in cols]
+        if len(rest[0]) > TILE or rest[0][0] == large:
+            large = int(rest[0][0])
+            yield out(rest[2], rest[1], rest[0])
+            rest = [c[:0] for c in rest]
+    if len(rest[0]):
+        yield from emit(rest)
+
+
+def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each (bucket, tile); rows come sorted by them, and a tile that a batch cuts off waits for the next one."""
+    rest = [np.zeros(0, np.int64)] * 4
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, fp = cols[:2], cols[2].view(np.uint64)
-        new = np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])]
-        rows, roots = link_rows(fp, np.cumsum(new))
-        return pa.RecordBatch.from_arrays([pa.array(cols[3][rows]), pa.array(cols[3][roots])], names=["u", "v"])
+        u, v = _spanning(cols[:2], cols[2], cols[3])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        cols = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for c, r in enumerate(rest)]
         if not len(cols[0]):
             continue
         last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
@@ -139,7 +182,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rest = [c[start:] for c in cols]
         if start:
             yield links([c[:start] for c in cols])
-    if rest is not None:
+    if len(rest[0]):
         yield links(rest)
 
 
@@ -158,15 +201,17 @@ def links(nodes: DataFrame) -> DataFrame:
 
     Input: fp, the node, and fps, its fingerprints; distinct rows.
     """
-    each = nodes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
-    dealt = each.select("node", "fp", F.explode(_bucket_keys(F.col("seed"), F.col("fp"))).alias("bucket"))
-    shared = dealt.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
-    salted = dealt.join(shared, "bucket").withColumn("salt", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    tiled = salted.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "bucket", F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile"), "fp", "node"
-    )
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_link_batches, "u long, v long")
+    each = nodes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
+    dealt = each.select(F.explode(_bucket_keys(F.col("seed"), F.col("fp"))).alias("bucket"), "fp", "node")
+    first = saved(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link_batches, "u long, v long, bucket long"), "links")
+    large = first.where("bucket is not null").select("bucket", F.col("v").alias("fp"), F.col("u").alias("node"))
+    parts = large.groupBy("bucket").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("parts"))
+    salted = large.join(parts, "bucket").withColumn("salt", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    tile = F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile")
+    tiled = salted.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", tile, "fp", "node")
+    tiles = tiled.repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_tile_batches, "u long, v long")
+    return first.where("bucket is null").select("u", "v").unionByName(tiles)
 
 
 def simhash_components(docs: DataFrame, family: int = 1) -> DataFrame:
@@ -198,7 +243,7 @@ def one_of_each(docs: DataFrame, family: int = 8) -> DataFrame:
     """
     comps = simhash_components(docs, family)
     kept = saved(comps.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    stay = docs.join(kept, "doc_id")
+    stay = docs.join(kept.hint("merge"), "doc_id")  # one plan at every size
     if kept.where("copies > 1").limit(1).count():
         first = stay.where("copies > 1").groupBy("doc_id").agg(F.struct(*[F.min_by(F.col(c), F.struct(F.col("text"), F.struct(*[F.col(o) for o in docs.columns]))).alias(c) for c in docs.columns]).alias("row"))
         stay = stay.where("copies = 1").select(*docs.columns).unionByName(first.select("row.*").select(*docs.columns))
