@@ -50,29 +50,33 @@ def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.array(ids, dtype=np.int64), counts, list(known)
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket) of each subword, by word. Words are read up to MAX_WORD characters for n-grams."""
+    parts = [_subwords(words[at : at + step], at) for at in range(0, len(words), step)] or [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[str], number: int) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(f"<{w[:MAX_WORD]}>" for w in words)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([min(len(w), MAX_WORD) + 2 for w in words], dtype=np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
-    owners, buckets = [], []
+    first = np.cumsum(lengths) - lengths
+    place = (np.arange(len(chars)) - first[owner] + 1).astype(np.uint64)
+    whole = np.add.reduceat(chars * place**np.uint64(3) * _P, first)
+    owners, hashes = [np.arange(len(words))], [whole]
     rolling = np.zeros(len(chars), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
         rolling = rolling[: len(chars) - n + 1] * _P + chars[n - 1 :] + np.uint64(n)
         if n in GRAMS:
             at = np.flatnonzero(left[: len(rolling)] >= n)
-            h = rolling[at]
             owners.append(owner[at])
-            buckets.append(((h ^ (h >> np.uint64(29))) * _P >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    first = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
-    whole = np.add.reduceat(chars * (np.arange(len(chars), dtype=np.uint64) - first[owner].astype(np.uint64) + np.uint64(1)) ** np.uint64(3) * _P, first) if words else np.zeros(0, np.uint64)
-    owners.append(np.arange(len(words)))
-    buckets.append(((whole ^ (whole >> np.uint64(31))) * _P >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    owners, buckets = np.concatenate(owners), np.concatenate(buckets)
+            hashes.append(rolling[at])
+    owners, h = np.concatenate(owners), np.concatenate(hashes)
     order = np.argsort(owners, kind="stable")
-    return owners[order], buckets[order]
+    bucket = ((h ^ (h >> np.uint64(29))) * _P >> np.uint64(40)) % np.uint64(BUCKETS)
+    return (owners[order] + number).astype(np.int32), bucket[order].astype(np.int32)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
