@@ -24,6 +24,7 @@ BITS = 20
 #: Rows of either class that the fit may use, and the longest text among them.
 PER_CLASS = 2500
 MAX_TRAIN_CHARS = 30_000
+FIXED = float(1 << 32)
 REPEAT = np.uint64(zlib.crc32(b"\0repeat"))
 
 
@@ -60,9 +61,10 @@ class Quality:
 
     def score(self, texts: list[str]) -> np.ndarray:
         f, counts = features(texts)
-        total = np.r_[0, np.cumsum(self.weights[f])]
+        # Sums of fixed-point numbers are exact, so a score depends on its text alone, not on the texts beside it.
+        total = np.r_[0, np.cumsum(np.rint(self.weights.astype(np.float64)[f] * FIXED).astype(np.int64))]
         end = np.cumsum(counts)
-        z = (total[end] - total[end - counts]) / np.sqrt(np.maximum(counts, 1)) + self.bias
+        z = (total[end] - total[end - counts]) / FIXED / np.sqrt(np.maximum(counts, 1)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 

@@ -35,6 +35,7 @@ MIN_TEXTS = 4
 #: Rows of either class that the fit may use, and the longest text among them.
 PER_CLASS = 1500
 MAX_TRAIN_CHARS = 20_000
+FIXED = float(1 << 32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,9 +106,10 @@ class Toxicity:
         ids, counts, words = split(texts)
         z = np.full(len(texts), -np.inf)
         if len(ids):
-            total = np.r_[0, np.cumsum(self.word_values(words)[ids])]
+            # Sums of fixed-point numbers are exact, so a score depends on its text alone, not on the texts beside it.
+            total = np.r_[0, np.cumsum(np.rint(self.word_values(words) * FIXED).astype(np.int64)[ids])]
             text, a, b = windows(counts)
-            np.maximum.at(z, text, (total[b] - total[a]) / (b - a))
+            np.maximum.at(z, text, (total[b] - total[a]) / (b - a) / FIXED)
         z = np.where(np.isfinite(z), z, 0.0) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
