@@ -25,8 +25,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").toPandas()  # 2 * per_class rows at most, if ids are unique
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # One row for each picked id, however often labels or documents repeat it: the least text, class 1 over class 0.
+    once = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = texts.join(F.broadcast(once), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
+    rows = rows.sort_values("doc_id")
     return rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64)
 
 
