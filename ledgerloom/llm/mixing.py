@@ -103,13 +103,16 @@ def mix(docs: DataFrame) -> DataFrame:
     part = F.greatest(F.lit(0), F.least(F.col("size"), room - served_before)).cast("long")
     # One row per copy in the cut range; rows that tie in all columns share a finish time only if their size is 0.
     at_cut = copies.withColumn("some", part).groupBy("doc_id", "source", "size", "h", "t").agg(F.max("some").alias("some"))
-    out = placed
+    in_cut = lambda t: F.coalesce(F.floor(F.col(t) / step) == at, F.lit(False))
+    whole = lambda t: F.when(F.floor(F.col(t) / step) < at, F.col("size")).otherwise(0)
+    rest = placed.where(~(in_cut("t0") | in_cut("t1"))).select("doc_id", "size", "source_size", "target", (whole("t0") + whole("t1")).alias("taken"))
+    cut_rows = placed.where(in_cut("t0") | in_cut("t1"))
     for t in ("t0", "t1"):
         side = at_cut.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("t").alias("u"), F.col("some").alias(f"some_{t}"))
-        near = (F.floor(F.col(t) / step) == at) & F.col(t).isNotNull()
         match = (F.col(t) == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-        out = out.join(F.broadcast(side), match, "left").withColumn(f"take_{t}", F.when(near, F.coalesce(F.col(f"some_{t}"), F.lit(0))).when(F.floor(F.col(t) / step) < at, F.col("size")).otherwise(0)).drop("d", "s", "z", "u", f"some_{t}")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("take_t0") + F.col("take_t1")).cast("long").alias("taken"))
+        cut_rows = cut_rows.join(side, match, "left").withColumn(f"take_{t}", F.when(in_cut(t), F.coalesce(F.col(f"some_{t}"), F.lit(0))).otherwise(whole(t))).drop("d", "s", "z", "u")
+    cut_rows = cut_rows.select("doc_id", "size", "source_size", "target", (F.col("take_t0") + F.col("take_t1")).alias("taken"))
+    return rest.unionByName(cut_rows).withColumn("taken", F.col("taken").cast("long"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
