@@ -68,6 +68,15 @@ def _(spark, d):
     return t.select(F.get_json_object("meta", "$.id").alias("id"), "n_html", "n_content")
 
 
+@query("src_06_trace_tree_whole", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS n_html, (CASE WHEN c_custkey % 2 = 0 THEN 7 END)::BIGINT AS n_content FROM customer")
+def _(spark, d):
+    folder = scratch(spark, "traces")
+    meta = F.format_string('{"id": "%d"}', "c_custkey")
+    files.write_traces(load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), meta.alias("meta"), F.col("c_name").alias("html"), F.when(F.col("c_custkey") % 2 == 0, "content").alias("content")), f"{folder}/a")
+    t = files.read_traces(spark, folder)
+    return t.select(F.get_json_object("meta", "$.id").alias("id"), "n_html", "n_content")
+
+
 @query("src_07_tsv_snapshot", WQ + "SELECT id, type, status FROM work_queue WHERE priority = 0")
 def _(spark, d):
     folder = scratch(spark, "tsv")
@@ -518,7 +527,7 @@ def _(spark, d):
 
 @query("ctl_07_hill_climb")
 def _(spark, d):
-    samples = load(spark, d, "scan_log").where("company_id < 20").select("company_id", "scan_id", (F.col("render_pages") + 1).alias("rate"))
+    samples = load(spark, d, "scan_log").select("company_id", "scan_id", (F.col("render_pages") + 1).alias("rate"))
     return control.climb(samples, "company_id", "scan_id", "rate")
 
 
@@ -533,6 +542,17 @@ def _(spark, d):
     return control.paced_starts(r, "host", "at_s", 1.5).select("id", "start_s")
 
 
+@query(
+    "ctl_08_host_pacing_whole",
+    WQ
+    + """, r AS (SELECT id, company_id % 97 AS host, (id % 500)::DOUBLE AS at_s, row_number() OVER (PARTITION BY company_id % 97 ORDER BY id % 500, id) - 1 AS i FROM work_queue)
+  SELECT id, max(at_s - i * 1.5::DOUBLE) OVER (PARTITION BY host ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) + i * 1.5::DOUBLE AS start_s FROM r""",
+)
+def _(spark, d):
+    r = load(spark, d, "work_queue").selectExpr("id", "company_id % 97 AS host", "cast(id % 500 as double) AS at_s")
+    return control.paced_starts(r, "host", "at_s", 1.5).select("id", "start_s")
+
+
 @query("ctl_09_public_hosts", "SELECT c_custkey, c_custkey % 4 = 0 AS public FROM customer")
 def _(spark, d):
     hosts = F.element_at(F.array(*map(F.lit, ("ir.example.com", "127.0.0.1:80", "172.20.1.1", "LOCALHOST"))), (F.col("c_custkey") % 4 + 1).cast("int"))

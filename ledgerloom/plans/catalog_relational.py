@@ -116,6 +116,12 @@ def _(spark, d):
     return load(spark, d, "work_queue").join(held, ["id", "claim_token"], "left_semi").select("id", "claim_token")
 
 
+@query("jon_13_tuple_in_whole", WQ + "SELECT id, claim_token FROM work_queue WHERE (id, claim_token) IN (SELECT o_orderkey, 'tok' || o_orderkey % 5 FROM orders)")
+def _(spark, d):
+    held = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("tok"), (F.col("o_orderkey") % 5).cast("string")).alias("claim_token"))
+    return load(spark, d, "work_queue").join(held, ["id", "claim_token"], "left_semi").select("id", "claim_token")
+
+
 @query("jon_15_anti_join", CE + "SELECT company_id FROM companies WHERE company_id NOT IN (SELECT company_id FROM disc_events)")
 def _(spark, d):
     return load(spark, d, "companies").join(load(spark, d, "disc_events"), "company_id", "left_anti").select("company_id")
@@ -427,6 +433,15 @@ def _(spark, d):
     return ordering.islands(words, ["l_suppkey"], "x", 4.0).groupBy("l_suppkey", "island").agg(F.count("*").alias("n"), F.max("x").alias("right_edge"))
 
 
+@query(
+    "win_10_column_islands_whole",
+    "WITH g AS (SELECT l_suppkey, l_quantity * 3 + l_linenumber AS x FROM lineitem), f AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY l_suppkey ORDER BY x) > 4.0 THEN 1 ELSE 0 END AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT l_suppkey, island::BIGINT AS island, count(*) AS n, max(x) AS right_edge FROM i GROUP BY 1, 2",
+)
+def _(spark, d):
+    words = load(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") * 3 + F.col("l_linenumber")).alias("x"))
+    return ordering.islands(words, ["l_suppkey"], "x", 4.0).groupBy("l_suppkey", "island").agg(F.count("*").alias("n"), F.max("x").alias("right_edge"))
+
+
 @query("win_11_median_pitch", "SELECT l_suppkey, median(gap) AS pitch FROM (SELECT l_suppkey, lead(x) OVER (PARTITION BY l_suppkey ORDER BY x) - x AS gap FROM (SELECT DISTINCT l_suppkey, l_extendedprice AS x FROM lineitem)) WHERE gap IS NOT NULL GROUP BY 1")
 def _(spark, d):
     x = load(spark, d, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("x")).distinct()
@@ -571,6 +586,13 @@ def _(spark, d):
     return upserts.fenced(q, done, "id", "claim_token", {"status": "new_status"}).select("id", "status")
 
 
+@query("ups_09_fenced_completion_whole", WQ + "SELECT id, CASE WHEN id % 7 = id % 5 THEN 'queued' ELSE status END AS status FROM work_queue")
+def _(spark, d):
+    q = load(spark, d, "work_queue")
+    done = q.select("id", F.concat(F.lit("tok"), (F.col("id") % 5).cast("string")).alias("claim_token"), F.lit("queued").alias("new_status"))
+    return upserts.fenced(q, done, "id", "claim_token", {"status": "new_status"}).select("id", "status")
+
+
 @query(
     "ups_10_backoff",
     EV + "SELECT event_id, CASE WHEN fail_count + 1 >= 3 THEN 'dead_letter' ELSE 'failed' END AS status, 30 * power(2, fail_count)::DOUBLE + ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 1024 / 1024.0::DOUBLE * 10 AS delay_s FROM disc_events WHERE status = 'rendering'",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,21 @@ def read_traces(spark: SparkSession, folder: str) -> DataFrame:
     return g.where("meta is not null")
 
 
+def write_traces(df: DataFrame, folder: str) -> None:
+    """A folder per row, named by its id, of meta.json, page.html and content.txt; null parts have no file. Executors write."""
+
+    def write(rows: Iterator[Row]) -> None:
+        store, root = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            store.create_dir(f"{root}/{r.id}", recursive=True)
+            for name, body in (("meta.json", r.meta), ("page.html", r.html), ("content.txt", r.content)):
+                if body is not None:
+                    with store.open_output_stream(f"{root}/{r.id}/{name}") as out:
+                        out.write(body.encode())
+
+    df.select("id", "meta", "html", "content").foreachPartition(write)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').csv(path)
 
