@@ -365,6 +365,11 @@ def _(spark, d):
     return normalise.normalise_events(raw, now_year=2020).select("event_id", "event_date", "event_type", "drop_reason")
 
 
+@query("nrm_01_03_normalise_events_whole")
+def _(spark, d):
+    return normalise.normalise_events(media(load(spark, d, "disc_events")), now_year=2020).select("event_id", "event_date", "event_type", "drop_reason", F.array_join("urls", " ").alias("urls"))
+
+
 @query("nrm_02_normalise_routes", "SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM pages WHERE page_id % 3 < 2 AND NOT regexp_matches(url, '\\.pdf')")
 def _(spark, d):
     p = load(spark, d, "pages").where(~F.col("url").rlike(r"\.pdf"))

@@ -647,6 +647,12 @@ def _(spark, d):
     return media(load(spark, d, "disc_events")).where("event_id % 6 = 2").select("event_id", F.get(F.array_distinct(doubled), F.lit(0)).alias("first"))
 
 
+@query("ups_20_ordered_dedup_whole")
+def _(spark, d):
+    first = F.get(F.array_distinct(F.concat("urls", "urls")), F.lit(0))
+    return media(load(spark, d, "disc_events")).select("event_id", first.alias("first"))
+
+
 @query(
     "ups_21_line_union",
     r"WITH l AS (SELECT doc_id, trim(line) AS line, min(pos) AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) GROUP BY 1, 2) SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS h FROM l GROUP BY 1",

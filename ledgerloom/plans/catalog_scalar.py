@@ -384,6 +384,16 @@ def _(spark, d):
     return s.where("ord % 2 = 0").join(said, "event_id").select("event_id", "ord", F.col("said").contains(F.substring("text", 1, 200)).alias("dropped"))
 
 
+@query(
+    "txt_25_suppress_repeated_blocks_whole",
+    with_tables("segments") + ", t AS (SELECT event_id, string_agg(text, ' ' ORDER BY ord, text) AS said FROM segments GROUP BY event_id) SELECT s.event_id, s.ord, contains(t.said, left(s.text, 200)) AS dropped FROM segments s JOIN t USING (event_id)",
+)
+def _(spark, d):
+    s = load(spark, d, "segments")
+    said = s.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda t: t["text"]), " ").alias("said"))
+    return s.join(said, "event_id").select("event_id", "ord", F.col("said").contains(F.substring("text", 1, 200)).alias("dropped"))
+
+
 @query("txt_26_slug", EV + "SELECT event_id, left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM disc_events")
 def _(spark, d):
     return load(spark, d, "disc_events").select("event_id", text.slug(F.col("title")).alias("slug"))

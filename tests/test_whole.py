@@ -1,11 +1,14 @@
 """Queries that read whole tables, on tables larger than the bounds of those that read a part."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 from ledgerloom import registry
+from ledgerloom.functions import urls
+from ledgerloom.plans.domain import TABLES
 
 SF = "/root/testdata/sf0.01"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -33,6 +36,7 @@ WHOLE = [
     ("ups_09_fenced_completion_whole", "count(*)", "SELECT count(*) FROM orders"),
     ("jon_13_tuple_in_whole", "count(*)", "SELECT count(*) FROM orders WHERE o_orderkey % 7 = o_orderkey % 5"),
     ("ctl_07_hill_climb", "count(*)", "SELECT count(DISTINCT user_id) FROM events"),
+    ("txt_25_suppress_repeated_blocks_whole", "count(*)", "SELECT count(*) FROM conversations"),
     ("src_06_trace_tree_whole", "count(*)", "SELECT count(*) FROM customer"),
 ]
 
@@ -61,3 +65,30 @@ def test_hill_climb_against_a_loop(spark, duck):
         want[run] = ewma, max(best * 0.98, ewma), limit, step, 0 if turn else bad
     out = {r.company_id: r["limit"] for r in QUERIES["ctl_07_hill_climb"](spark, SF).collect()}
     assert out == {run: s[2] for run, s in want.items()}
+
+
+def raw_events(duck):
+    rows = duck.execute(f"SELECT event_id, event_date, event_type, title, media FROM ({TABLES['disc_events'][1]})").fetchall()
+    assert {r[0] % 6 for r in rows} == set(range(6))
+    return rows
+
+
+def test_normalised_events_of_every_shape(spark, duck):
+    def clean(u):
+        m = re.match(r"\[[^\]]*\]\((https?://[^)\s]+)\)", u.strip())
+        return m.group(1) if m else u.strip()
+
+    want = {}
+    for i, date, kind, title, media in raw_events(duck):
+        own = list(dict.fromkeys(u for u in map(clean, media.split("|")) if u.startswith("http") and not re.search(urls.NON_EVENT, u) and not re.search(urls.TRACKER, u)))
+        read = {5: "2024", 6: "2024", 11: (date or "")[:10]}.get(i % 12, date or "")
+        reason = "no_identity" if not own and not ((date or "").strip() and title) else "implausible_date" if read and not 1993 <= int(read[:4]) <= 2025 else None
+        kind = kind.strip().lower()
+        want[i] = read, kind if kind in ("earnings", "press_release", "webcast") else "other", reason, " ".join(own)
+    out = {r.event_id: (r.event_date, r.event_type, r.drop_reason, r.urls) for r in QUERIES["nrm_01_03_normalise_events_whole"](spark, SF).collect()}
+    assert out == want
+
+
+def test_first_address_of_every_event(spark, duck):
+    out = {r.event_id: r["first"] for r in QUERIES["ups_20_ordered_dedup_whole"](spark, SF).collect()}
+    assert out == {r[0]: r[4].split("|")[0] or None for r in raw_events(duck)}
