@@ -236,12 +236,16 @@ def simhash_components(docs: DataFrame, family: int = 1) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, family: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its least doc_id; all columns.
+    """The rows of ``docs`` that stay when each component of ``simhash_components`` keeps its least doc_id; all columns."""
+    return keep_least(docs, simhash_components(docs, family))
+
+
+def keep_least(docs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the component_id that ``comps`` (doc_id, component_id) gives it; all columns.
 
     Of rows that repeat that doc_id one stays (its least text); a component without any doc_id keeps nothing
     to go by, so its rows all stay.
     """
-    comps = simhash_components(docs, family)
     kept = saved(comps.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
     stay = docs.join(kept.hint("merge"), "doc_id")  # one plan at every size
     if kept.where("copies > 1").limit(1).count():
