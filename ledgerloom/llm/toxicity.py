@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.labelled import in_groups, scored, training_sample
 
 WORD = re.compile(r"\w+")
+#: A longer run of letters is read in overlapping pieces of about a word's length, so that each n-gram lies in one.
 MAX_WORD = 40
+PIECE, OVERLAP = 12, 4
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 4
@@ -39,28 +41,39 @@ FIXED = float(1 << 32)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; pieces of a run longer than MAX_WORD count as words each."""
+    out: list[str] = []
+    for w in WORD.findall(text.lower()):
+        if len(w) <= MAX_WORD:
+            out.append(w)
+        else:
+            out += [w[at : at + PIECE] for at in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
+
+
 def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word ids of all texts end to end, the number of words of each text, and the distinct words."""
     known: dict[str, int] = {}
     ids: list[int] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for k, t in enumerate(texts):
-        words = WORD.findall(t.lower())
+        words = words_of(t)
         counts[k] = len(words)
         ids += [known.setdefault(w, len(known)) for w in words]
     return np.array(ids, dtype=np.int64), counts, list(known)
 
 
 def subwords(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of each subword, by word. Words are read up to MAX_WORD characters for n-grams."""
+    """(word number, bucket) of each subword, by word."""
     parts = [_subwords(words[at : at + step], at) for at in range(0, len(words), step)] or [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _subwords(words: list[str], number: int) -> tuple[np.ndarray, np.ndarray]:
-    joined = "".join(f"<{w[:MAX_WORD]}>" for w in words)
+    joined = "".join(f"<{w}>" for w in words)
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    lengths = np.array([min(len(w), MAX_WORD) + 2 for w in words], dtype=np.int64)
+    lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
     first = np.cumsum(lengths) - lengths

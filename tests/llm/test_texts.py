@@ -50,6 +50,24 @@ def test_toxicity_windows_cover_every_word():
         assert covered == set(range(ends[k] - n, ends[k]))
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    model = toxicity.fit(*corpus(300, 1, insult))
+    texts, y = corpus(8, 2, insult)
+    clean = texts[int(np.flatnonzero(y == 0)[0])]
+    head = "_".join(clean.split()[:12])
+    assert len(head) > toxicity.MAX_WORD
+    for join in ("_", ""):
+        bad = join.join([*clean.split()[:12], *[insult(random.Random(9)) for _ in range(6)], *clean.split()[12:20]])
+        good = join.join(clean.split()[:26])
+        a, b = model.score([bad, good])
+        assert a > 0.5 > b, (join, a, b)
+    long = toxicity.words_of("x" + "".join(chr(97 + k % 26) for k in range(500)))
+    grams = {w[k : k + 5] for w in long for k in range(len(w) - 4)}
+    whole = "x" + "".join(chr(97 + k % 26) for k in range(500))
+    assert {whole[k : k + 5] for k in range(len(whole) - 4)} == grams and len(long[-1]) >= 5
+    assert toxicity.words_of("a b_c " + "d" * 40) == ["a", "b_c", "d" * 40]
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_one_class_or_none(module):
     assert (module.fit([], np.zeros(0, int)).score(["a b", ""]) < 0.01).all()
