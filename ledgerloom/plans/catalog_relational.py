@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, text, urls
+from ledgerloom.functions import dates, text, udfs, urls
 from ledgerloom.operators import aggregates, joins, ordering, upserts
 from ledgerloom.plans.catalog_scalar import EACH_URL, ONE_URL, SQL_PERIOD, each_url, media, sql_canon, sql_norm_date, sql_norm_title
 from ledgerloom.plans.domain import EVENTS_NOW, QUEUE_NOW, load, ts, with_tables
@@ -157,6 +157,12 @@ def _(spark, d):
     return docs.select("doc_id", F.contains(text.norm_evidence(F.col("text")), text.norm_evidence(F.substring("text", 40, 60))).alias("grounded"))
 
 
+@query("jon_19_evidence_in_body_whole")
+def _(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", udfs.nfkc(F.coalesce("text", F.lit(""))).alias("body"), udfs.nfkc(F.coalesce(F.substring("text", 40, 60), F.lit(""))).alias("evidence"))
+    return docs.select("doc_id", F.contains(text.norm_evidence(F.col("body")), text.norm_evidence(F.col("evidence"))).alias("grounded"))
+
+
 @query("jon_20_fuzzy_url_match", EACH_URL + " SELECT a.event_id, count(DISTINCT b.url) AS found FROM urls a JOIN urls b ON a.event_id = b.event_id AND a.pos <> b.pos AND (contains(regexp_replace(lower(a.url), '^https?://', ''), regexp_replace(lower(b.url), '^https?://', '')) OR contains(regexp_replace(lower(b.url), '^https?://', ''), regexp_replace(lower(a.url), '^https?://', ''))) GROUP BY 1")
 def _(spark, d):
     u = each_url(spark, d).withColumn("bare", F.regexp_replace(F.lower("url"), "^https?://", ""))

@@ -2,6 +2,7 @@
 
 import os
 import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -92,3 +93,19 @@ def test_normalised_events_of_every_shape(spark, duck):
 def test_first_address_of_every_event(spark, duck):
     out = {r.event_id: r["first"] for r in QUERIES["ups_20_ordered_dedup_whole"](spark, SF).collect()}
     assert out == {r[0]: r[4].split("|")[0] or None for r in raw_events(duck)}
+
+
+def test_evidence_in_every_body(spark, tmp_path):
+    def norm(s):
+        s = unicodedata.normalize("NFKC", s or "").translate(str.maketrans("\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "))
+        s = re.sub(r"\[[0-9]{1,3}\]", " ", re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", s))
+        s = re.sub(r"(?<=\s)-+(?=\s)|^-+\s|\s-+$", " ", re.sub(r"[*_`~#]+", " ", s))
+        return re.sub(r"\s+", " ", s).strip().lower()
+
+    shapes = ["- “Revenue” was **up** 5 % [1] in well-known markets — see [the report](https://x.example.com/a_b) for ‘more’ ~ # of it all", "ﬁne ＡＢＣ １２３ half-year – figures " * 4, "plain words " * 20, "", None]
+    rows = [(i, (s and f"{i} {s}")) for i, s in enumerate(shapes * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), SF):
+        texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        out = {r.doc_id: r.grounded for r in QUERIES["jon_19_evidence_in_body_whole"](spark, folder).collect()}
+        assert out == {i: norm((t or "")[39:99]) in norm(t) for i, t in texts.items()}
