@@ -32,12 +32,21 @@ class Rule(NamedTuple):
     least: int = 0  # matches whose group is shorter are dropped
 
 
+#: A header and what follows it: up to the END line, if one comes before another header, else the lines of base64
+#: (and headers such as DEK-Info) below it. Line ends may be escaped, as in JSON.
+_BREAK = r"(?:\s|\\[nr])+"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:{_BREAK}[A-Za-z0-9+/]+={{1,2}}|(?:\n|\\n)[A-Za-z0-9+/]+(?=\s*(?:\n|\Z)))?)"
+)
+
 #: The base rules first; their spans are never replaced. Kinds rank in this order.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]+", least=24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("prefixed_token", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,})"),
 )
