@@ -225,3 +225,28 @@ def test_benchmark_in_blocks(spark, make):
     benchmark = make([(k, " ".join(f"b{k}x{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
     parts = decontaminate.indexes(benchmark, block_bytes=400)
     assert len(parts) > 2 and sorted(i for p in parts for ids in p.item_ids for i in ids) == list(range(12))
+
+
+def test_leaks_of_every_kind_of_edit():
+    rng = random.Random(12)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(15, 60))] for _ in range(150)]
+    index = decontaminate.Index.build([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert index.simulated_recall >= decontaminate.TARGET_RECALL
+    for kind in ("insert", "delete", "replace"):
+        texts = []
+        for t in range(1500):
+            w = list(items[t % 150])
+            for j in range(decontaminate.allowed(len(w))):
+                at = rng.randrange(len(w))
+                w[at : at + (kind != "insert")] = [] if kind == "delete" else [f"x{j}"]
+            texts.append(" ".join([f"a{k}" for k in range(20)] + w + [f"b{k}" for k in range(20)]))
+        doc, item, _ = index.leaks(texts)
+        assert len({d for d, i in zip(doc.tolist(), item.tolist(), strict=True) if d % 150 == i}) >= 0.9975 * 1500, kind
+
+
+def test_too_few_repetitions_are_an_error(monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(50))) for i in range(20)]
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", 2)
+    with pytest.raises(ValueError, match="2 repetitions"):
+        decontaminate.Index.build(rows)
