@@ -8,7 +8,8 @@ for a block of queries at once.
 
 Pruning is relaxed by ``factor``: a subtree is skipped if the lower bound of its distances times the factor
 exceeds the query's radius. Factor 1 skips only what cannot matter, so the search is exact; larger factors
-skip more. Distances that count are always computed on the original vectors in double precision.
+skip more, and queries that they leave with too few neighbours are searched again at factor 1.
+Distances that count are always computed on the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import saved
+
 FACTOR = 1.25
 NEIGHBOURS = 10
 SAMPLE = 4096
@@ -190,39 +193,51 @@ def nearest(vectors: DataFrame, query_filter, k: int = NEIGHBOURS, factor: float
                 cells[at] = (m << 32) + (routers[m].cells(v) if m in routers else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells)], names=["vec_id", "embedding", "cell"])
 
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for m, at, v in _by_length(b):
-                ids = b.column(0).take(pa.array(at)).to_numpy()
-                if m in routers:
-                    radius = routers[m].radius(ids, v)
-                    who, cell = routers[m].visits(v, radius, factor)
-                else:
-                    radius, who, cell = np.full(len(v), np.inf), np.arange(len(v)), np.zeros(len(v), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), b.column(1).take(pa.array(at[who])), pa.array((m << 32) + cell), pa.array(radius[who])], names=["vec_id", "embedding", "cell", "radius"])
-
     placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, cell long")
     queries = rows.where(query_filter).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sent = queries.mapInArrow(send, "vec_id long, embedding array<double>, cell long, radius double")
-
-    # How many shards a cell needs, and how many blocks its queries: a row per cell.
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts"))
-    blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    layout = parts.join(blocks, "cell")
-    salt = lambda of, seed: F.expr(f"cast(pmod(xxhash64(vec_id, {seed}), {of}) as int)")
-    upto = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
-    left = placed.join(layout, "cell").withColumn("part", salt("parts", 1)).withColumn("block", upto("blocks")).select("cell", "part", "block", "vec_id", "embedding")
-    right = sent.join(layout, "cell").withColumn("block", salt("blocks", 2)).withColumn("part", upto("parts")).select("cell", "part", "block", "vec_id", "embedding", "radius")
-
-    def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tree = Tree(shard["vec_id"].to_numpy(), np.stack(shard["embedding"].to_numpy()))
-        ids = asked["vec_id"].to_numpy()
-        who, found, d = tree.search(ids, np.stack(asked["embedding"].to_numpy()), asked["radius"].to_numpy(), k, factor)
-        return pd.DataFrame({"query_id": ids[who], "vec_id": found, "score": d})
-
-    keys = ["cell", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    def run(queries: DataFrame, factor: float) -> DataFrame:
+        def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for m, at, v in _by_length(b):
+                    ids = b.column(0).take(pa.array(at)).to_numpy()
+                    if m in routers:
+                        radius = routers[m].radius(ids, v)
+                        who, cell = routers[m].visits(v, radius, factor)
+                    else:
+                        radius, who, cell = np.full(len(v), np.inf), np.arange(len(v)), np.zeros(len(v), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), b.column(1).take(pa.array(at[who])), pa.array((m << 32) + cell), pa.array(radius[who])], names=["vec_id", "embedding", "cell", "radius"])
+
+        sent = queries.mapInArrow(send, "vec_id long, embedding array<double>, cell long, radius double")
+
+        # How many shards a cell needs, and how many blocks its queries: a row per cell.
+        parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts"))
+        blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        layout = parts.join(blocks, "cell")
+        salt = lambda of, seed: F.expr(f"cast(pmod(xxhash64(vec_id, {seed}), {of}) as int)")
+        upto = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
+        left = placed.join(layout, "cell").withColumn("part", salt("parts", 1)).withColumn("block", upto("blocks")).select("cell", "part", "block", "vec_id", "embedding")
+        right = sent.join(layout, "cell").withColumn("block", salt("blocks", 2)).withColumn("part", upto("parts")).select("cell", "part", "block", "vec_id", "embedding", "radius")
+
+        def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(shard) or not len(asked):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            tree = Tree(shard["vec_id"].to_numpy(), np.stack(shard["embedding"].to_numpy()))
+            ids = asked["vec_id"].to_numpy()
+            who, found, d = tree.search(ids, np.stack(asked["embedding"].to_numpy()), asked["radius"].to_numpy(), k, factor)
+            return pd.DataFrame({"query_id": ids[who], "vec_id": found, "score": d})
+
+        keys = ["cell", "part", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+
+    found = run(queries, factor)
+    if factor > 1:
+        # The starting radius holds k vectors, but pruning may skip some of them: queries left short are searched exactly.
+        found = saved(found, "neighbours")
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        short = saved(queries.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short-queries")
+        if short.limit(1).count():
+            again = short.select(F.col("vec_id").alias("query_id"))
+            found = found.join(again, "query_id", "left_anti").unionByName(run(short, 1.0))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -128,6 +128,13 @@ def test_neighbours_are_exact_at_factor_one(spark, make):
     assert len(relaxed & {(w[0], w[2]) for w in want}) >= 0.9 * len(want)
 
 
+def test_no_query_is_left_short(spark, make):
+    points = np.random.default_rng(4).normal(size=(3000, 2)).astype(np.float32).tolist()
+    df = make([(i, p, 0) for i, p in enumerate(points)], VECTORS)
+    got = neighbours.nearest(df, "vec_id >= 0").groupBy("query_id").count().collect()
+    assert len(got) == 3000 and {r["count"] for r in got} == {10}
+
+
 def test_few_or_no_neighbours(spark, make):
     few = make([(0, [1.0, 2.0], 1), (1, [1.0, 3.0], 1), (100, [5.0, 5.0], 1), (7, [1.0], 1)], VECTORS)
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(few, "vec_id % 100 = 0").collect()) == [(0, 1, 1), (0, 2, 100), (100, 1, 1), (100, 2, 0)]
