@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out
+from ledgerloom.llm.common import held_out, trimmed
 
 #: Texts are scored in groups of about so many characters, which bounds a worker's memory.
 GROUP_CHARS = 2_000_000
@@ -18,16 +18,18 @@ GROUP_CHARS = 2_000_000
 def training_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels: at most ``per_class`` labelled rows of either class that are not held out.
 
-    The rows are those of least xxhash64(doc_id), so reruns agree; texts beyond ``max_chars`` are left
-    out of the fit (never of the scoring). Rows whose label is null or neither 0 nor 1 teach nothing.
+    They are those of least xxhash64(doc_id) among the labelled rows that have a text of at most ``max_chars``
+    characters in ``docs``, so reruns agree. Longer texts are left out of the fit (never of the scoring), and so are
+    rows whose label is null or neither 0 nor 1. However often labels or documents repeat an id, it counts once: with
+    its least text, and class 1 over class 0.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    # One row for each picked id, however often labels or documents repeat it: the least text, class 1 over class 0.
-    once = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = texts.join(F.broadcast(once), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
+    there = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = there.where("y = 0").orderBy(*order).limit(per_class).unionByName(there.where("y = 1").orderBy(*order).limit(per_class))
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
     rows = rows.sort_values("doc_id")
     return rows["text"].tolist(), rows["y"].to_numpy(dtype=np.int64)
 
@@ -54,6 +56,6 @@ def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, type=pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(batches, "doc_id long, score double").select(
+    return plain.mapInArrow(trimmed(batches), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.labelled import scored, training_sample
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-MAX_TOKEN = 64
 BITS = 20
 #: Rows of either class that the fit may use, and the longest text among them.
 PER_CLASS = 2500
@@ -37,7 +36,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         tokens = TOKEN.findall(t.lower())
         counts[k] = len(tokens)
         ids += [known.setdefault(w, len(known)) for w in tokens]
-    token_hash = np.array([zlib.crc32(w[:MAX_TOKEN].encode("utf-8", "surrogatepass")) for w in known], dtype=np.uint64)
+    token_hash = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in known], dtype=np.uint64)
     at = np.array(ids, dtype=np.int64)
     h = token_hash[at]
     text = np.repeat(np.arange(len(texts)), counts)
