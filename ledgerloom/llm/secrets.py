@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import trimmed
+
 
 class Rule(NamedTuple):
     kind: str
@@ -242,7 +244,7 @@ def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     of different kinds may. Other columns are ignored; an empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return plain.mapInArrow(_batches(rules, BASE), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return plain.mapInArrow(trimmed(_batches(rules, BASE)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -257,8 +259,9 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns with each secret in ``text`` replaced; spans that overlap become one mask.
 
-    Texts without a secret, null ones included, stay as they are; ``n_chars``, if there, is counted anew
-    for texts that change.
+    Texts without a secret, null and empty ones included, stay as they are; ``n_chars``, if there, is counted anew
+    for texts that change. Rows keep their ids, null or repeated, and repeated rows change alike; an empty table
+    stays empty.
     """
     names, at = docs.columns, docs.columns.index("text")
 
@@ -278,4 +281,4 @@ def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RU
                 arrays[k] = pa.array([len(n) if s else o for n, s, o in zip(new, found, b.column(k).to_pylist(), strict=True)], type=b.column(k).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

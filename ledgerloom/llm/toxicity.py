@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.common import trimmed
 from ledgerloom.llm.labelled import in_groups, scored, training_sample
 
 WORD = re.compile(r"\w+")
@@ -212,7 +213,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns kept; the fit is that of ``toxicity``."""
+    """The rows of ``docs`` that score below the threshold, all columns kept; the fit and the scores are those of ``toxicity``.
+
+    So null, empty and wordless texts go by the model's bias, repeated rows share one decision, and without usable
+    labels every row stays. A row goes or stays by its text alone, whatever its id. An empty table stays empty.
+    """
     model, at = train_toxicity(docs, labels), docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,4 +225,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
             scores = [model.score(g) for g in in_groups(b.column(at).fill_null("").to_pylist())]
             yield b.filter(pa.array(np.concatenate(scores) < threshold)) if scores else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
