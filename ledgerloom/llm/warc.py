@@ -134,10 +134,15 @@ def records(stream) -> Iterator[tuple[dict[str, str], int, bytes]]:
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, digest, head: the rows that revisit another, and the page whose response they refer to."""
+    """page_id, digest, head: the rows that revisit another, and the page whose response they refer to.
+
+    The heads are written before they are joined and repeated rows dropped before, not behind the join, so that the
+    many rows of one payload can be split among tasks.
+    """
     slim = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes")).where(F.col("bytes") >= REVISIT_FROM)
     heads = slim.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("digest", "head")
-    return slim.join(heads, "digest").where("page_id is null or page_id < head").select("page_id", "digest", "head").distinct()
+    heads = saved(heads, "heads")
+    return slim.select("page_id", "digest").distinct().join(heads, "digest").where("page_id is null or page_id < head").select("page_id", "digest", "head")
 
 
 def _writer(folder: str):
