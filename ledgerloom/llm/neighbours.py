@@ -1,6 +1,7 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-A small vantage-point tree fitted on a bounded sample routes every vector to a cell; a cell of too many
+A vantage-point tree fitted on a bounded sample routes every vector to a cell; the sample grows with the table up to
+SAMPLE_BYTES, which gives cells of about one shard up to about 5e8 vectors of 64 dimensions. A cell of too many
 vectors (a hot one, say copies of one vector) is dealt into several shards by hash. Each query starts with a
 radius that is sure to hold enough neighbours, its k-th distance within the sample, and goes to the shards of
 all cells that the triangle inequality does not rule out. There a tree over the shard's vectors is searched
@@ -24,11 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import saved
+from ledgerloom.llm.common import saved, trimmed
 
 FACTOR = 1.25
 NEIGHBOURS = 10
+#: Vectors that the starting radius is taken from, and the least that the routing tree is fitted on.
 SAMPLE = 4096
+#: The routing tree is fitted on so many vectors a cell, as far as the sample's bytes allow; fewer than CELL_LEAST end its growth.
+CELL_SAMPLE, CELL_LEAST = 16, 4
+SAMPLE_BYTES = 64 << 20
+#: Numbers in a block of vectors that are compared at once: bounds memory at any dimension.
+BLOCK_NUMBERS = 1 << 21
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
 LEAF = 128
@@ -43,53 +50,78 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.sqrt(((points - to) ** 2).sum(axis=-1))
+    """Distances between rows of both, or of the one to the other, in blocks of bounded size."""
+    out, step = np.empty(len(points)), max(1, BLOCK_NUMBERS // max(1, points.shape[1]))
+    for at in range(0, len(points), step):
+        other = to if to.ndim == 1 else to[at : at + step]
+        out[at : at + step] = np.sqrt(((points[at : at + step] - other) ** 2).sum(axis=1))
+    return out
 
 
 class Router:
     """The top of the tree, fitted on a sample: heap-ordered vantage points and radii for one vector length."""
 
     def __init__(self, ids: np.ndarray, sample: np.ndarray, depth: int, k: int):
-        self.ids, self.sample, self.k = ids, sample, k
-        self.depth = max(0, min(depth, int(log2(max(len(sample) / 16, 1)))))
+        self.k = k
+        self.depth = max(0, min(depth, int(log2(max(len(sample) / CELL_LEAST, 1)))))
         n = (1 << self.depth) - 1
-        self.points, self.radii = np.zeros((n, sample.shape[1])), np.zeros(n)
+        points, self.radii = np.zeros(n, dtype=np.int64), np.zeros(n)
         held = {0: np.arange(len(sample))}
         for node in range(n):
             own = held.pop(node)
+            if len(own) < 2:  # nothing to divide: one side gets all
+                points[node], self.radii[node] = own[0] if len(own) else 0, np.inf
+                held[2 * node + 1], held[2 * node + 2] = own, own[:0]
+                continue
             far = own[np.argmax(_distances(sample[own], sample[own[0]]))]
-            self.points[node] = sample[far]
+            points[node] = far
             d = _distances(sample[own], sample[far])
             self.radii[node] = np.median(d)
             inner = d <= self.radii[node]
             if inner.all():
                 inner = np.arange(len(own)) < len(own) // 2
             held[2 * node + 1], held[2 * node + 2] = own[inner], own[~inner]
+        self.points = sample[points] if n else np.zeros((0, sample.shape[1]))
+        self.ids, self.sample = ids[:SAMPLE], sample[:SAMPLE]
+        self.squares = (self.sample**2).sum(axis=1)
 
     def cells(self, v: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(v), dtype=np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (_distances(v, self.points[node]) > self.radii[node])
-        return node - len(self.radii)
+        out, step = np.empty(len(v), dtype=np.int64), max(1, BLOCK_NUMBERS // max(1, v.shape[1]))
+        for at in range(0, len(v), step):
+            part = v[at : at + step]
+            node = np.zeros(len(part), dtype=np.int64)
+            for _ in range(self.depth):
+                node = 2 * node + 1 + (_distances(part, self.points[node]) > self.radii[node])
+            out[at : at + step] = node - len(self.radii)
+        return out
 
     def radius(self, ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The k-th distance to vectors of the sample other than the query's own; infinite if they are too few."""
-        out = np.full(len(v), np.inf)
-        for at in range(0, len(v), 64):
-            d = _distances(self.sample[None, :, :], v[at : at + 64, None, :])
-            d[ids[at : at + 64, None] == self.ids[None, :]] = np.inf
-            if d.shape[1] >= self.k:
-                out[at : at + 64] = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
+        """An upper bound, by no more than rounding, of the k-th distance to vectors of the sample but the query's own; infinite if they are too few."""
+        out, step = np.full(len(v), np.inf), 256
+        if len(self.sample) < self.k:
+            return out
+        for at in range(0, len(v), step):
+            part = v[at : at + step]
+            squares = (part**2).sum(axis=1)
+            d = self.squares[None, :] + squares[:, None] - 2 * part @ self.sample.T
+            d[ids[at : at + step, None] == self.ids[None, :]] = np.inf
+            slack = 1e-9 * (self.squares.max() + squares)
+            out[at : at + step] = np.sqrt(np.maximum(np.partition(d, self.k - 1, axis=1)[:, self.k - 1], 0) + slack)
         return out
 
     def visits(self, v: np.ndarray, radius: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, cell) of each cell whose lower bound times factor is within the radius."""
-        bound = np.zeros((len(v), 2 * len(self.radii) + 1))
-        for node in range(len(self.radii)):
-            gap = _distances(v, self.points[node]) - self.radii[node]
-            bound[:, 2 * node + 1] = np.maximum(bound[:, node], gap)
-            bound[:, 2 * node + 2] = np.maximum(bound[:, node], -gap)
-        return np.nonzero(bound[:, len(self.radii) :] * factor <= radius[:, None])
+        """(query number, cell) of each cell whose lower bound times factor is within the radius; only such subtrees are entered."""
+        who, node, bound = np.arange(len(v)), np.zeros(len(v), dtype=np.int64), np.zeros(len(v))
+        for _ in range(self.depth):
+            gap = np.empty(len(who))
+            step = max(1, BLOCK_NUMBERS // max(1, v.shape[1]))
+            for at in range(0, len(who), step):
+                gap[at : at + step] = _distances(v[who[at : at + step]], self.points[node[at : at + step]])
+            gap -= self.radii[node]
+            inner, outer = np.maximum(bound, gap), np.maximum(bound, -gap)
+            go_in, go_out = inner * factor <= radius[who], outer * factor <= radius[who]
+            who, node, bound = np.r_[who[go_in], who[go_out]], np.r_[2 * node[go_in] + 1, 2 * node[go_out] + 2], np.r_[inner[go_in], outer[go_out]]
+        return who, node - len(self.radii)
 
 
 class Tree:
@@ -143,9 +175,9 @@ class Tree:
         w, x = who[i], rows[j]
         other = self.ids[x] != self.own[w]
         w, x = w[other], x[other]
-        d = np.empty(len(w))
-        for at in range(0, len(w), 1 << 15):
-            d[at : at + (1 << 15)] = _distances(self.v[x[at : at + (1 << 15)]], self.q[w[at : at + (1 << 15)]])
+        d, step = np.empty(len(w)), max(1, BLOCK_NUMBERS // max(1, self.v.shape[1]))
+        for at in range(0, len(w), step):
+            d[at : at + step] = _distances(self.v[x[at : at + step]], self.q[w[at : at + step]])
         inside = d <= self.radius[w]
         if not inside.any():
             return
@@ -178,13 +210,11 @@ def nearest(vectors: DataFrame, query_filter, k: int = NEIGHBOURS, factor: float
     are ignored; an empty table gives an empty result.
     """
     rows = usable(vectors)
-    n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    by_length: dict[int, list] = {}
-    for r in sample:
-        by_length.setdefault(len(r.embedding), []).append(r)
+    n, longest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     depth = ceil(log2(max(1, n / shard_rows)))
-    routers = {m: Router(np.array([r.vec_id for r in rs]), np.array([r.embedding for r in rs]), depth, k) for m, rs in by_length.items()}
+    size = max(SAMPLE, min(CELL_SAMPLE << depth, SAMPLE_BYTES // (8 * longest)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow().combine_chunks().to_batches()
+    routers = {m: Router(b.column(0).to_numpy()[at], v, depth, k) for b in sample for m, at, v in _by_length(b)}
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -193,7 +223,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = NEIGHBOURS, factor: float
                 cells[at] = (m << 32) + (routers[m].cells(v) if m in routers else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells)], names=["vec_id", "embedding", "cell"])
 
-    placed = rows.mapInArrow(place, "vec_id long, embedding array<double>, cell long")
+    placed = rows.mapInArrow(trimmed(place), "vec_id long, embedding array<double>, cell long")
     queries = rows.where(query_filter).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def run(queries: DataFrame, factor: float) -> DataFrame:
@@ -208,12 +238,12 @@ def nearest(vectors: DataFrame, query_filter, k: int = NEIGHBOURS, factor: float
                         radius, who, cell = np.full(len(v), np.inf), np.arange(len(v)), np.zeros(len(v), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who]), b.column(1).take(pa.array(at[who])), pa.array((m << 32) + cell), pa.array(radius[who])], names=["vec_id", "embedding", "cell", "radius"])
 
-        sent = queries.mapInArrow(send, "vec_id long, embedding array<double>, cell long, radius double")
+        sent = queries.mapInArrow(trimmed(send), "vec_id long, embedding array<double>, cell long, radius double")
 
         # How many shards a cell needs, and how many blocks its queries: a row per cell.
         parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("parts"))
         blocks = sent.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-        layout = parts.join(blocks, "cell")
+        layout = saved(parts.join(blocks, "cell"), "cells")
         salt = lambda of, seed: F.expr(f"cast(pmod(xxhash64(vec_id, {seed}), {of}) as int)")
         upto = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
         left = placed.join(layout, "cell").withColumn("part", salt("parts", 1)).withColumn("block", upto("blocks")).select("cell", "part", "block", "vec_id", "embedding")
