@@ -5,7 +5,8 @@ into a document if some passage lies within k = floor(0.2 * L) word edits of it,
 
 1. Windows. A passage within k edits of an item keeps a run of ceil((L - k) / (k + 1)) of its words
    unchanged, so windows of the item's size are opened only where such a run (of 4 words at most) occurs,
-   at each start that k edits allow. No leak is lost by this.
+   at each start that k edits allow, and only if the region around holds as many pairs and triples of words that stand
+   side by side in some item as k edits must leave (an edit takes two pairs and three triples). No leak is lost by this.
 2. CGK. A window is walked by a pointer that stays or advances as a random bit of (word, step) says; the
    symbols read are its embedding, of 3L symbols. Walks with the same bits meet again after an edit, so a
    small edit distance becomes a small Hamming distance.
@@ -13,20 +14,29 @@ into a document if some passage lies within k = floor(0.2 * L) word edits of it,
    candidates. The number of repetitions is the least that finds the target share of simulated passages at
    the very threshold (k random edits of each item), measured when the operator is set up.
 4. Verification. Edit distance of the item to the best passage of the candidate region, exactly.
+
+What opens a window is a run's hash, its place and the item's length, so the run table has one entry for all items of
+one length that share a run there, and a common phrase opens a window once, not once for each item that holds it.
+The benchmark is taken in blocks of checked size. The driver builds them one at a time and writes each to the shared
+folder, and a task holds one block at a time, so neither's memory grows with the benchmark.
 """
 
 from __future__ import annotations
 
+import logging
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import new_path, trimmed
 from ledgerloom.llm.labelled import in_groups
 
 WORD = re.compile(r"\w+")
@@ -129,7 +139,8 @@ class Index:
     item_ids: list[list[int]]  # the ids of each distinct text
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by run length: hash, item, offset
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by run length: hash, item length, offset; distinct
+    grams: dict[int, np.ndarray] = field(default_factory=dict)  # by length, 2 and 3: the hashes of all items' word groups
     repetitions: int = 0
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     key_items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -145,14 +156,17 @@ class Index:
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in t], dtype=np.int64) for t in by_words]
         out = cls([sorted(ids) for ids in by_words.values()], items, vocabulary)
         parts: dict[int, list] = {}
-        for k, item in enumerate(items):
+        for item in items:
             n = run_length(len(item))
             h = gram_hash(item, n)
-            parts.setdefault(n, []).append((h, np.full(len(h), k), np.arange(len(h))))
+            parts.setdefault(n, []).append((h, np.full(len(h), len(item)), np.arange(len(h))))
         for n, p in parts.items():
-            h, k, at = map(np.concatenate, zip(*p, strict=True))
-            order = np.argsort(h, kind="stable")
-            out.runs[n] = h[order], k[order], at[order]
+            h, length, at = map(np.concatenate, zip(*p, strict=True))
+            order = np.lexsort((at, length, h))
+            h, length, at = h[order], length[order], at[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (length[1:] != length[:-1]) | (at[1:] != at[:-1])]
+            out.runs[n] = h[new], length[new], at[new]
+        out.grams = {n: np.unique(np.concatenate([gram_hash(i, n) for i in items if len(i) >= n] or [np.zeros(0, np.uint64)])) for n in (2, 3)}
         out._tune(target)
         if items:
             padded, lengths = stacked(items)
@@ -161,8 +175,8 @@ class Index:
             out.keys, out.key_items = keys[order], np.tile(np.arange(len(items)), out.repetitions)[order]
         return out
 
-    def _passages(self, rng: np.random.Generator, count: int, edit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of simulated passages with k edits, mixed or of one kind, their lengths and passages; the items and their lengths."""
+    def _passages(self, rng: np.random.Generator, count: int, edit: int | None) -> tuple[np.ndarray, ...]:
+        """Windows of simulated passages with k edits, mixed or of one kind, their lengths, passages and distances from the passage's start; the items and their lengths."""
         items, windows = [], []
         for t in range(count):
             item = self.items[int(rng.integers(len(self.items))) if len(self.items) > count else t % len(self.items)]
@@ -179,26 +193,31 @@ class Index:
             items.append(item)
             windows += [padded[start : start + len(item)] for start in range(2 * k + 1)]
         of = np.repeat(np.arange(count), [2 * allowed(len(i)) + 1 for i in items])
-        return *stacked(windows), of, *stacked(items)
+        off = np.concatenate([np.abs(np.arange(2 * allowed(len(i)) + 1) - allowed(len(i))) for i in items])
+        return *stacked(windows), of, off, *stacked(items)
 
     def _found(self, passages: tuple, found: np.ndarray, repetitions: range) -> np.ndarray:
-        """Which passages some window finds in these repetitions, those found before included; only the others are walked."""
-        rows, lengths, of, targets, target_lengths = passages
-        for r in repetitions:
-            open_ = np.flatnonzero(~found)
-            if not len(open_):
-                break
-            own = np.flatnonzero(~found[of])
-            place = np.searchsorted(open_, of[own])
-            same = walk(rows[own], lengths[own], r) == walk(targets[open_], target_lengths[open_], r)[place]
-            found = found.copy()
-            found[open_] = np.bincount(place, same, len(open_)) > 0
+        """Which passages some window finds in these repetitions, those found before included; only the others are walked.
+
+        Windows at the passage's start or beside it find most, so the others are walked for what those leave.
+        """
+        rows, lengths, of, off, targets, target_lengths = passages
+        found = found.copy()
+        for apart in (off <= 1, off > 1):
+            for r in repetitions:
+                open_ = np.flatnonzero(~found)
+                own = np.flatnonzero(apart & ~found[of])
+                if not len(own):
+                    break
+                place = np.searchsorted(open_, of[own])
+                same = walk(rows[own], lengths[own], r) == walk(targets[open_], target_lengths[open_], r)[place]
+                found[open_] = np.bincount(place, same, len(open_)) > 0
         return found
 
     def _tune(self, target: float) -> None:
         """Repetitions until the target share of TUNE_PASSAGES of each kind is found, and of CONFIRM_PASSAGES fresh ones.
 
-        Each time fresh ones miss the target, a repetition is added and others are drawn.
+        When fresh ones miss the target, repetitions are added, at least one, and others are drawn.
         """
         if not self.items:
             return
@@ -209,13 +228,22 @@ class Index:
             while self.repetitions < MOST_REPETITIONS and (self.repetitions == 0 or found.mean() < target):
                 found = self._found(passages, found, range(self.repetitions, self.repetitions + 1))
                 self.repetitions += 1
+        hardest = list(EDITS)
         while True:
-            self.simulated_recall = min(self._confirmed(rng, kind) for kind in EDITS)
+            recalls = []
+            for kind in hardest:
+                recalls.append(self._confirmed(rng, kind))
+                if recalls[-1] < target:
+                    break
+            self.simulated_recall = min(recalls)
             if self.simulated_recall >= target:
                 return
             if self.repetitions >= MOST_REPETITIONS:
                 raise ValueError(f"{MOST_REPETITIONS} repetitions find {self.simulated_recall:.4f} of simulated passages, fewer than {target}")
-            self.repetitions += 1
+            hardest.insert(0, hardest.pop(len(recalls) - 1))  # the kind that failed is tried first
+            # Misses fall by about one factor a repetition.
+            wanted = self.repetitions * np.log(1 - target) / np.log(1 - self.simulated_recall) if 0 < self.simulated_recall < 1 else 0
+            self.repetitions = min(MOST_REPETITIONS, max(self.repetitions + 1, int(wanted)))
 
     def _confirmed(self, rng: np.random.Generator, kind: int | None) -> float:
         """The share of fresh passages that are found, drawn in parts to bound memory."""
@@ -233,7 +261,7 @@ class Index:
             ends[k + 1] = len(ids)
         words = np.array(ids, dtype=np.int64)
         opened = []
-        for n, (hashes, item, offset) in self.runs.items():
+        for n, (hashes, length, offset) in self.runs.items():
             if len(words) < n:
                 continue
             known = words > 0
@@ -251,10 +279,13 @@ class Index:
             times = high - low
             which = np.repeat(np.arange(len(at)), times)
             entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + low[which]
-            opened.append(np.stack([doc[which], np.array([len(i) for i in self.items], dtype=np.int64)[item[entry]], at[which] - offset[entry]], axis=1))
+            opened.append(np.stack([doc[which], length[entry], at[which] - offset[entry]], axis=1))
         if not opened or not len(opened := np.unique(np.concatenate(opened), axis=0)):
             return none, none, none
         hits = []
+        opened = opened[self._dense(opened, words, ends)]
+        if not len(opened):
+            return none, none, none
         limits = np.array([allowed(n) for n in range(int(opened[:, 1].max()) + 1)])[opened[:, 1]]
         shift = np.arange(-int(limits.max()), int(limits.max()) + 1)
         spread = np.abs(shift)[None, :] <= limits[:, None]
@@ -275,6 +306,22 @@ class Index:
             return none, none, none
         return self._verified(hits, words, ends)
 
+    def _dense(self, opened: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the windows (text, length, start) have as many of the items' word groups around them as a leak must hold."""
+        doc, length, start = opened.T
+        k = np.array([allowed(n) for n in range(int(length.max()) + 1)])[length]
+        low, high = np.clip(start - 2 * k, ends[doc], ends[doc + 1]), np.clip(start + length + 2 * k, ends[doc], ends[doc + 1])
+        out = np.ones(len(opened), dtype=bool)
+        for n, hashes in self.grams.items():
+            if len(words) < n:
+                continue
+            h = gram_hash(words, n)
+            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+            total = np.r_[0, np.cumsum(hashes[at] == h if len(hashes) else np.zeros(len(h), bool))]
+            held = total[np.minimum(np.maximum(high - n + 1, low), len(h))] - total[np.minimum(low, len(h))]
+            out &= held >= length - n + 1 - n * k
+        return out
+
     def _verified(self, hits: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out = []
         for item in np.unique(hits[:, 0]).tolist():
@@ -300,23 +347,61 @@ class Index:
         return found[:, 0], found[:, 1], found[:, 2]
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Index]:
-    """One index for each block of items; the size is checked first, so none outgrows its block by much."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    part = F.expr(f"pmod(xxhash64(item_id, text), {blocks})")
-    return [Index.build([(r.item_id, r.text) for r in items.where(part == k).orderBy("item_id", "text").collect()]) for k in range(blocks)]
+class Blocks:
+    """The indexes of a benchmark's blocks, each built when it is asked for; the size is checked first, so none outgrows its block by much."""
+
+    def __init__(self, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+        text = F.col("text").cast("string").alias("text")
+        self.items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text).where("text is not null and item_id is not null")
+        self.count = max(1, -(-(self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[Index]:
+        part = F.expr(f"pmod(xxhash64(item_id, text), {self.count})")
+        for k in range(self.count):
+            yield Index.build([(r.item_id, r.text) for r in self.items.where(part == k).orderBy("item_id", "text").collect()])
+
+    def stored(self) -> list[str]:
+        """A file in the shared folder for each block; the driver holds one at a time."""
+        folder = new_path(self.items.sparkSession, "benchmark")
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for k, index in enumerate(self):
+            logging.getLogger(__name__).info("block %d: %d items, %d repetitions, simulated recall %.4f", k, len(index.items), index.repetitions, index.simulated_recall)
+            with store.open_output_stream(f"{root}/{k}") as out:
+                pickle.dump(index, out, protocol=5)
+        return [f"{folder}/{k}" for k in range(self.count)]
 
 
-def _pairs(index: Index):
+indexes = Blocks
+
+
+@lru_cache(maxsize=1)
+def _block(uri: str) -> Index:
+    """A block of the benchmark; the last one stays with the worker."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as stream:
+        return pickle.loads(stream.read())
+
+
+def _found(uris: list[str], texts: list[str]) -> Iterator[tuple[Index, np.ndarray, np.ndarray, np.ndarray]]:
+    """What each block finds in the texts, in groups of bounded size: the block, and text, item and distance of each leak."""
+    for uri in uris:
+        index, at = _block(uri), 0
+        for group in in_groups(texts, GROUP_CHARS):
+            doc, item, distance = index.leaks(group)
+            yield index, doc + at, item, distance
+            at += len(group)
+
+
+def _pairs(uris: list[str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, at = b.column(0).to_pylist(), 0
-            for group in in_groups(b.column(1).to_pylist(), GROUP_CHARS):
-                doc, item, distance = index.leaks(group)
-                rows = [(ids[at + d], i, len(index.items[k]), e) for d, k, e in zip(doc.tolist(), item.tolist(), distance.tolist(), strict=True) for i in index.item_ids[k]]
-                at += len(group)
+            ids = b.column(0).to_pylist()
+            for index, doc, item, distance in _found(uris, b.column(1).to_pylist()):
+                rows = [(ids[d], i, len(index.items[k]), e) for d, k, e in zip(doc.tolist(), item.tolist(), distance.tolist(), strict=True) for i in index.item_ids[k]]
                 cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=pa.int64()) for c in cols], names=["doc_id", "item_id", "item_words", "edit_distance"])
 
@@ -332,25 +417,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is the result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = None
-    for index in indexes(benchmark):
-        part = plain.mapInArrow(_pairs(index), "doc_id long, item_id long, item_words long, edit_distance long")
-        found = part if found is None else found.unionByName(part)
+    found = plain.mapInArrow(trimmed(_pairs(Blocks(benchmark).stored())), "doc_id long, item_id long, item_words long, edit_distance long")
     return found.withColumn("similarity", 1 - F.col("edit_distance") / F.col("item_words"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks, all columns kept."""
-    at = docs.columns.index("text")
-    for index in indexes(benchmark):
-
-        def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                keep, start = np.ones(b.num_rows, dtype=bool), 0
-                for group in in_groups(b.column(at).fill_null("").to_pylist(), GROUP_CHARS):
-                    keep[start + index.leaks(group)[0]] = False
-                    start += len(group)
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of ``docs`` into which no item leaks, all columns kept.
+
+    Null and empty texts hold nothing and stay, as do all rows if the benchmark is empty or null; a row goes or stays
+    by its text alone, whatever its id, and so do repeated rows. An empty table stays empty.
+    """
+    at, uris = docs.columns.index("text"), Blocks(benchmark).stored()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for _, doc, _, _ in _found(uris, b.column(at).fill_null("").to_pylist()):
+                keep[doc] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
