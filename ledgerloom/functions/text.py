@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the data model.
 EVENT_TYPES = ("earnings", "press_release", "presentation", "filing", "webcast", "conference", "shareholder_meeting", "dividend", "other")
 GENERIC_TITLES = ("", "investor relations", "ir", "home", "untitled", "error", "404", "403 forbidden", "404 not found", "not found", "page not found", "access denied", "just a moment...")
+ACCESSION_NUMBER = r"^\d{9,10}-\d{2}-\d{6}$"
+HEX_ID = r"(?i)^[0-9a-f]{8}[\s\-][0-9a-f]{4}[\s\-][0-9a-f]{4}"
+ERROR_TITLES = ("error |", "error -")
+WALL_TITLES = ("attention required", "just a moment")
+SLIDE_TITLE = r"^(slide|投影片|幻灯片|diapositiva|folie|presentation)\s*\d*$"
+FILE_TITLE = r"\.(xls|xlsx|zip|csv|htm|xml|jpe?g|png|docx?|pptx?)$"
+EXCHANGE_NAME = r"(?i)\b(NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX|Paris|London)\b"
+TICKER = r"[:\s]\s*([A-Z][A-Z0-9.\-]{0,9})\b"
 MAGIC = ("%PDF-", "PK\x03\x04", "GIF8", "ID3", "OggS", "fLaC")
 SPEAKER = r"(?i)(?:^|\n)\s*(?:operator\s*[:：]|q\s*[—\-–]|a\s*[—\-–]|[A-Z][a-z]+ [A-Z][a-z]+\s*[:：—\-–]|[A-Z][A-Z .]+\s*[:：])"
 EXCHANGE_TAG = r"(?i)(\((?:NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX)[^):]{0,15}:\s*[^)]{1,40}\))"
@@ -52,7 +62,14 @@ def is_generic_title(c: Column) -> Column:
 
 def is_machine_id(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
-    return t.rlike(r"^\d{9,10}-\d{2}-\d{6}$") | t.rlike(r"(?i)^[0-9a-f]{8}[\s\-][0-9a-f]{4}[\s\-][0-9a-f]{4}")
+    return t.rlike(ACCESSION_NUMBER) | t.rlike(HEX_ID)
+
+
+def is_junk_title(c: Column) -> Column:
+    """Whether a title is a machine's id, an error or wall page's, a slide's default or a file's name."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    forms = [t.isin("error", "cloudflare"), t.rlike(SLIDE_TITLE), t.rlike(FILE_TITLE), *[t.startswith(e) for e in ERROR_TITLES], *[t.contains(w) for w in WALL_TITLES]]
+    return reduce(lambda x, y: x | y, forms, is_machine_id(c))
 
 
 def is_challenge(c: Column) -> Column:
@@ -126,8 +143,8 @@ def exchange_tags(c: Column) -> Column:
 
 
 def tickers(c: Column) -> Column:
-    body = F.regexp_replace(F.concat(F.lit(" "), c), r"(?i)\b(NYSE American|NYSE|NASDAQ|TSXV|TSX|LSE|SIX|Euronext|ASX|Paris|London)\b", " ")
-    found = F.regexp_extract_all(body, F.lit(r"[:\s]\s*([A-Z][A-Z0-9.\-]{0,9})\b"), 1)
+    body = F.regexp_replace(F.concat(F.lit(" "), c), EXCHANGE_NAME, " ")
+    found = F.regexp_extract_all(body, F.lit(TICKER), 1)
     return F.array_sort(F.array_except(found, F.array(F.lit("AND"), F.lit("WWW"))))
 
 

@@ -9,10 +9,16 @@ from urllib.parse import urljoin
 import pandas as pd
 
 from ledgerloom.functions.arrow import arrow
+from ledgerloom.functions.urls import MARKDOWN_LINK
 
 SKIPPED = frozenset({"script", "style", "noscript", "svg", "head", "template", "iframe"})
 BLOCKS = frozenset({"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "blockquote", "main", "aside"})
-VOID = frozenset({"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"})
+#: Where a page's own text stands, what holds text of its own, and what is there on every page of a site.
+MAIN = frozenset({"main", "article"})
+PARAGRAPHS = frozenset({"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "dd", "dt", "pre"})
+FRAME = frozenset({"nav", "header", "footer", "aside"})
+#: A tier of the body ladder wins if it finds at least so many characters; the last one wins with any.
+BODY_CHARS = 200
 
 
 class _Inline(HTMLParser):
@@ -70,6 +76,120 @@ def inline_text(page: str | None, base: str | None) -> str:
     return "\n".join(line for line in lines if line)
 
 
+class _Part(_Inline):
+    """Inline text of what stands inside ``within``, and not inside ``without``."""
+
+    def __init__(self, base: str, within: frozenset[str], without: frozenset[str]):
+        super().__init__(base)
+        self.within, self.without, self.inside, self.outside = within, without, 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag in self.within
+        self.outside += tag in self.without
+        if tag != "a" or (self.inside and not self.outside):
+            super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        self.inside -= tag in self.within and self.inside > 0
+        self.outside -= tag in self.without and self.outside > 0
+
+    def handle_data(self, data):
+        if self.inside and not self.outside:
+            super().handle_data(data)
+
+
+def _lines(parser: _Inline, page: str) -> str:
+    parser.feed(page)
+    parser.close()
+    parser._close_anchor()
+    lines = (" ".join(line.split()) for line in "".join(parser.out).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def extract_body(page: str | None, base: str | None, thin: bool = False) -> tuple[str, str]:
+    """(tier, text) of the first reader that finds enough: main (the page's main part or article), paragraphs (blocks of
+    text outside navigation and frames), inline (all text, whatever there is); empty if there is none or the page is thin."""
+    if thin or not (page or "").strip():
+        return "empty", ""
+    for tier, within in (("main", MAIN), ("paragraphs", PARAGRAPHS)):
+        body = _lines(_Part(base or "", within, FRAME), page)
+        if len(body) >= BODY_CHARS:
+            return tier, body
+    body = inline_text(page, base)
+    return ("inline", body) if body else ("empty", "")
+
+
+class _Markdown(_Inline):
+    """Markdown lines: headings, list items, paragraphs, and each table as a run of pipe rows with a rule row."""
+
+    def __init__(self, base: str):
+        super().__init__(base)
+        self.cells: list[int] = []  # per open table: -1 before its first row, cells of that row, then -2
+        self.inside_cell = False
+
+    def handle_starttag(self, tag, attrs):
+        n = len(self.out)
+        super().handle_starttag(tag, attrs)
+        if self.hidden:
+            return
+        del self.out[n:]
+        if self.cells and tag in ("tr", "td", "th", "table"):
+            self._end_cell()
+        if tag == "table":
+            self.cells.append(-1)
+            self.out.append("\n\n")
+        elif self.cells and tag == "tr":
+            if self.cells[-1] > 0:
+                self._rule()
+            self.cells[-1] = max(self.cells[-1], 0) if self.cells[-1] != -2 else -2
+            self.out.append("\n|")
+        elif self.cells and tag in ("td", "th"):
+            self.cells[-1] += self.cells[-1] >= 0
+            self.inside_cell = True
+            self.out.append(" ")
+        elif tag in BLOCKS:
+            mark = "#" * int(tag[1]) + " " if re.fullmatch("h[1-6]", tag) else "- " if tag == "li" else ""
+            self.out.append(" " if self.cells else "\n" + ("\n" if tag not in ("li", "br") else "") + mark)
+
+    def _end_cell(self):
+        if self.inside_cell:
+            self.out.append(" |")
+        self.inside_cell = False
+
+    def _rule(self):
+        self.out.append("\n|" + "---|" * self.cells[-1])
+        self.cells[-1] = -2
+
+    def handle_endtag(self, tag):
+        n = len(self.out)
+        super().handle_endtag(tag)
+        if self.hidden or tag == "a":
+            return
+        del self.out[n:]
+        if self.cells and tag in ("td", "th", "tr", "table"):
+            self._end_cell()
+        if self.cells and tag == "table":
+            if self.cells[-1] > 0:
+                self._rule()
+            self.cells.pop()
+            self.out.append("\n\n")
+        elif tag in BLOCKS and tag != "tr":
+            self.out.append(" " if self.cells else "\n" if tag == "li" else "\n\n")
+
+    def handle_data(self, data):
+        super().handle_data(" ".join(data.split("\n")) if self.cells else data)
+
+
+def markdown_of(page: str | None, base: str | None) -> str:
+    p = _Markdown(base or "")
+    p.feed(page or "")
+    p.close()
+    p._close_anchor()
+    lines = [" ".join(line.split()) for line in "".join(p.out).split("\n")]
+    return re.sub("\n{3,}", "\n\n", "\n".join(line for line in lines if line != "|")).strip()
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -180,7 +300,7 @@ def tag_links(t: str | None) -> tuple[str, dict[str, str]]:
     def put(m: re.Match) -> str:
         return f"[{m[1]}]({known.setdefault(m[2], f'L{len(known) + 1}')})"
 
-    out = re.sub(r"\[([^\]]*)\]\((https?://[^)\s]+)\)", put, t or "")
+    out = re.sub(MARKDOWN_LINK, put, t or "")
     return out, {ref: url for url, ref in known.items()}
 
 
@@ -201,6 +321,16 @@ def html_inline(page: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([inline_text(p, b) for p, b in zip(page, base, strict=True)])
 
 
+@arrow("struct<tier:string,body:string>")
+def body_udf(page: pd.Series, base: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([extract_body(p, b) for p, b in zip(page, base, strict=True)], columns=["tier", "body"])
+
+
+@arrow("string")
+def markdown_udf(page: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([markdown_of(p, b) for p, b in zip(page, base, strict=True)])
+
+
 @arrow("array<struct<table_idx:int,headers:array<string>,rows:array<array<string>>>>")
 def html_tables(page: pd.Series) -> pd.Series:
     return page.map(parse_tables)

@@ -27,6 +27,16 @@ TRACKER = r"(?i)/Tracker\?|/track(er)?/[^/]*\?|//(link|click|ct|email|e|mailer)\
 FILINGS = r"(?i)/(sec-filings|edgar|financials/(sec|quarterly|annual|financial-results)|regulatory)"
 BINARY_ROUTE = r"(?i)\.(pdf|pptx?|docx?|xlsx?|csv|zip|rar|7z|gz|tgz|mp3|wav|m4a|aac|mp4|mov|avi|mkv|webm|ics|vcs|epub)(\?|#|$)|/(static-files|content/dam|files/doc_financials|files/doc_downloads)/"
 EVENTS_HUB = r"(?i)/(events?|events-and-presentations|events-calendar|ir-calendar|calendar|webcasts?|presentations?|news-and-events|upcoming-events?|investor-events?)(/|\?|#|$|-|\.)"
+IR_PATH = r"(?i)/(ir|investor|investors|investor-relations|events?|presentations?|calendar|webcasts?|financial|financials|results|earnings|news-and-events|news-events|shareholders?|stock|reports?|library|quarterly|annual|disclosure|ri|relacoes|relations)(/|\?|#|$|-|_|\.)"
+NON_IR_PATH = r"(?i)/(careers?|jobs|legal|privacy|terms|cookie|sitemap|support|help|contact|store|shop|products?|solutions?|blog|login|signin|account|cart|search)(/|\?|#|$|-)"
+IR_MATERIAL = r"(?i)\.(pdf|pptx?|docx?|xlsx?|zip|mp[34]|mov|jpe?g|png|gif|svg|css|js)(\?|#|$)"
+IR_PLATFORM = r"(?i)\.(gcs-web|q4web|q4inc|irwebsite|investorroom|equisolve|issuerdirect)\.com$"
+VIEWER = r"(?i)(pdf-?viewer|/viewer\.(aspx|html?|php)|/web/viewer\.html|officeapps\.live\.com)"
+VIEWER_TARGET = "(?:^|&)(?:src|file|url|document|pdf)=([^&]*)"
+PDF_EXPORT_PATH, PDF_EXPORT_QUERY = "(?i)/pdf/?$", "(?i)(?:^|&)(?:as[_-]?pdf|format=pdf|type=pdf|download=pdf)(?:=[^&]*)?(?:&|$)"
+OPAQUE_DOWNLOAD = "(?i)/static-files/|/resource/download/|/api/asset/|/download/?$"
+MARKDOWN_LINK = r"\[([^\]]*)\]\((https?://[^)\s]+)\)"
+DASHBOARD_KINDS = ((r"\.pdf(\?|#|$)", "pdf"), (r"\.(mp3|wav|m4a|aac)(\?|#|$)", "audio"), (r"\.(mp4|mov|webm)(\?|#|$)", "video"), (r"\.(pptx?|key)(\?|#|$)", "slides"))
 VIDEO_HOSTS = (
     r"(?i)(?:^|\.)(?:youtube\.com|youtu\.be|vimeo\.com|wistia\.com|brightcove\.net|q4inc\.com|webcasts?\.com|veracast\.com|open-exchange\.net|issuerdirect\.com|media-server\.com|on24\.com|choruscall\.com|wsw\.com|"
     r"teletogether\.com|kvgo\.com|metameetings\.net|webinar\.net|irwebmeeting\.com|irwebcasting\.com|summitcast\.com|viavid\.com|webcaster4\.com|webcast-eqs\.com|talkpoint\.com|royalcast\.com|c-conf\.com|vevent\.com|zoom\.us)$"
@@ -117,15 +127,15 @@ def _extension(path: Column) -> Column:
 
 def unwrap_markdown(u: Column) -> Column:
     t = F.trim(F.coalesce(u, F.lit("")))
-    inner = F.regexp_extract(t, r"^\[[^\]]*\]\((https?://[^)\s]+)\)", 1)
+    inner = F.regexp_extract(t, f"^{MARKDOWN_LINK}", 2)
     return F.when(inner != "", inner).otherwise(t)
 
 
 def unwrap_viewer(u: Column) -> Column:
     """A document viewer's target, if it is an absolute address of a known document type; else the url itself."""
-    viewer = u.rlike(r"(?i)(pdf-?viewer|/viewer\.(aspx|html?|php)|/web/viewer\.html|officeapps\.live\.com)")
+    viewer = u.rlike(VIEWER)
     known = [e for _, es in EXTENSION_KINDS for e in es]
-    raw = F.regexp_extract(query(u), "(?:^|&)(?:src|file|url|document|pdf)=([^&]*)", 1)
+    raw = F.regexp_extract(query(u), VIEWER_TARGET, 1)
     target = let(F.try_url_decode(raw), lambda t: F.when(t.rlike("(?i)^https?://") & extension(t).isin(*known), t))
     return F.when(viewer, F.coalesce(target, u)).otherwise(u)
 
@@ -140,7 +150,7 @@ def _kind(p: Column) -> Column:
         out = F.when(ext.isin(*NON_CONTENT), "other")
         for kind, exts in EXTENSION_KINDS:
             out = out.when(ext.isin(*exts), kind)
-        exported = p["path"].rlike("(?i)/pdf/?$") | p["query"].rlike("(?i)(?:^|&)(?:as[_-]?pdf|format=pdf|type=pdf|download=pdf)(?:=[^&]*)?(?:&|$)")
+        exported = p["path"].rlike(PDF_EXPORT_PATH) | p["query"].rlike(PDF_EXPORT_QUERY)
         return out.when((ext == "") & exported, "pdf").otherwise("html")
 
     return F.when(F.regexp_replace(p["netloc"], ":.*$", "").rlike(VIDEO_HOSTS), "video").otherwise(let(_extension(p["path"]), by_extension))
@@ -155,7 +165,7 @@ def classify_content_type(c: Column, fallback: str = "html") -> Column:
 
 
 def is_opaque_download(u: Column) -> Column:
-    return path(u).rlike("(?i)/static-files/|/resource/download/|/api/asset/|/download/?$")
+    return path(u).rlike(OPAQUE_DOWNLOAD)
 
 
 def video_id(u: Column) -> Column:
@@ -180,16 +190,50 @@ def is_public_host(h: Column) -> Column:
 
 
 def dashboard_kind(u: Column) -> Column:
-    low = F.lower(F.coalesce(u, F.lit("")))
+    low, out = F.lower(F.coalesce(u, F.lit(""))), F.lit("page")
+    for pattern, kind in reversed(DASHBOARD_KINDS):
+        out = F.when(low.rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def is_ir_candidate(u: Column, root: Column) -> Column:
+    """Whether an address may be an investor page of the site: its own or on a known platform, the site's root or a path
+    that sounds like one, and neither a document nor of a kind of page that never is one."""
+    own = same_site(u, root) | netloc(u).rlike(IR_PLATFORM)
+    likely = path(u).isin("", "/") | path(u).rlike(IR_PATH)
+    return ~u.rlike(IR_MATERIAL) & ~u.rlike(NON_IR_PATH) & own & likely
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """The absolute address that a reference on a page of address ``base`` stands for; its fragment stays, dots are resolved."""
+    return let(_parts(base), lambda b: _joined(b, F.trim(F.coalesce(ref, F.lit("")))))
+
+
+def _joined(b: Column, ref: Column) -> Column:
+    site = F.concat(b["scheme"], F.lit("://"), b["netloc"])
+    folder = F.when(b["path"] == "", "/").otherwise(F.regexp_replace(b["path"], "[^/]*$", ""))
+    own = F.regexp_extract(ref, "^([^?#]*)", 1)
+    rest = F.substring(ref, F.length(own) + 1, F.length(ref))
+    asked = F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise("")
     return (
-        F.when(low.rlike(r"\.pdf(\?|#|$)"), "pdf")
-        .when(low.rlike(r"\.(mp3|wav|m4a|aac)(\?|#|$)"), "audio")
-        .when(low.rlike(r"\.(mp4|mov|webm)(\?|#|$)"), "video")
-        .when(low.rlike(r"\.(pptx?|key)(\?|#|$)"), "slides")
-        .otherwise("page")
+        F.when(ref.rlike("(?i)^[a-z][a-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), ref))
+        .when(own == "", F.concat(site, b["path"], F.when(rest.startswith("?"), rest).otherwise(F.concat(asked, rest))))
+        .otherwise(F.concat(site, _without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
 
 
+def _without_dots(p: Column) -> Column:
+    """A path that begins with a slash, with its . and .. segments carried out."""
+    segments = F.split(p, "/")
+    n = F.size(segments)
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    step = lambda a, s: F.when(s["s"] == "..", up(a)).when(s["s"] == ".", a).otherwise(F.concat(a, F.array(s["s"])))
+    kept = F.aggregate(F.transform(segments, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), F.array().cast("array<string>"), step)
+    last = F.element_at(segments, -1)
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") & (n > 1), "/").otherwise(""))
+
+
 def clean_urls(urls: Column) -> Column:
     """Unwrapped http(s) addresses that are neither assets nor trackers, each once, in order."""
     bare = F.transform(urls, unwrap_markdown)

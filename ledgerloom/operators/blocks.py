@@ -46,6 +46,22 @@ def blocks_of(md: str | None) -> list[dict]:
     return out
 
 
+def spliced(md: str | None, tables: list[dict]) -> list[dict]:
+    """Blocks in reading order, each run of pipe rows giving its place to the next of the page's parsed tables.
+
+    A run without one left keeps its own cells; tables that no run stands for come last.
+    """
+    left = [t for t in tables if len(t["headers"]) or len(t["rows"])]
+    table = lambda t: {"type": "table", "md": "", "headers": list(t["headers"]), "rows": [list(r) for r in t["rows"]]}
+    out = [table(left.pop(0)) if b["type"] == "table" and left else b for b in blocks_of(md)]
+    return [b | {"ord": k} for k, b in enumerate([*out, *map(table, left)])]
+
+
+@arrow(BLOCK_TYPE)
+def spliced_udf(md: pd.Series, tables: pd.Series) -> pd.Series:
+    return pd.Series([spliced(m, list(t)) for m, t in zip(md, tables, strict=True)])
+
+
 @arrow(BLOCK_TYPE)
 def markdown_blocks(md: pd.Series) -> pd.Series:
     return md.map(blocks_of)

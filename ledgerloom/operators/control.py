@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Capacity profiles: pages and model calls an hour, and the shortest period in seconds.
 PROFILES = {"small": (1728.0, 250.0, 1800.0), "medium": (7000.0, 250.0, 1800.0), "large": (14000.0, 250.0, 1800.0)}
@@ -85,21 +89,27 @@ def window_rate(requests: DataFrame, key: str, at_s: str, span_s: int) -> DataFr
 def accepted(requests: DataFrame, key: str, at_s: str, most: int, span_s: float) -> DataFrame:
     """ok: whether a sliding-window limiter lets a request pass; only accepted requests count against the limit.
 
-    What passes depends on what passed before, so each key's requests are folded in order; state is ``most`` times.
+    What passes depends on what passed before, so each key's requests stream through in order (time, id); what is
+    held of a key is the times of the last ``most`` accepted ones, however long its history. Requests without a
+    time pass and count for nothing.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at_s, "id"], kind="stable")
-        kept: list[float] = []
-        ok = []
-        for t in pdf[at_s]:
-            kept = [x for x in kept if x > t - span_s]
-            ok.append(len(kept) < most)
-            if ok[-1]:
-                kept.append(t)
-        return pdf.assign(ok=ok)
-
-    return requests.groupBy(key).applyInPandas(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", ok boolean")
+    columns = requests.columns
+    keys, times = columns.index(key), columns.index(at_s)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last = object(), deque(maxlen=most)
+        for b in batches:
+            ok = []
+            for k, t in zip(b.column(keys).to_pylist(), b.column(times).to_pylist(), strict=True):
+                if k != here:
+                    here, last = k, deque(maxlen=most)
+                ok.append(t is None or len(last) < most or last[0] <= t - span_s)
+                if ok[-1] and t is not None:
+                    last.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, type=pa.bool_())], names=[*columns, "ok"])
+
+    ordered = requests.repartition(key).sortWithinPartitions(key, at_s, "id")
+    return ordered.mapInArrow(fold, T.StructType([*requests.schema.fields, T.StructField("ok", T.BooleanType())]))
 
 
 def climb(samples: DataFrame, run: str, order: str, rate: str, start: int = 18, low: int = 4, high: int = 64) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import norm_evidence
+from ledgerloom.functions.text import norm_evidence, tickers
 
 
 def stratified_sample(df: DataFrame, key: str, strata: list[tuple[str, Column]], quota: int) -> DataFrame:
@@ -81,3 +81,59 @@ def suspicious_tables(tables: DataFrame) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def scoreboard(docs: DataFrame, mentions: DataFrame, edges: DataFrame, drops: DataFrame, common: int = 10) -> DataFrame:
+    """section, key, value: the five figures of an extraction run, as rows.
+
+    ``docs`` has id, stratum and tags (exchange tags in the text), ``mentions`` id and exchange_tag, ``edges`` id, level
+    and predicate, ``drops`` kind and reason.
+    tags: documents that have tags, those for which a tag was noted, and those where a ticker agrees, also in percent.
+    levels: edges of each level, -1 where it is missing. predicates: how many there are, how many of them hold a digit
+    (a value that belongs elsewhere), all edges, and the most common ones. strata: documents, edges, edges a document
+    and the percentage without any. drops: how many were dropped for each reason.
+    """
+    of = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    rows = lambda df, *structs: df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    figures = lambda df, section, names: rows(df, *[of(section, F.lit(n), F.col(n)) for n in names])
+    pct = lambda part, whole: F.floor(100 * part / F.greatest(whole, F.lit(1)))
+
+    noted = mentions.groupBy("id").agg(F.flatten(F.collect_set(tickers(F.col("exchange_tag")))).alias("got"))
+    tagged = docs.where(F.size("tags") > 0).select("id", F.flatten(F.transform("tags", tickers)).alias("want")).join(noted, "id", "left")
+    got = F.coalesce(F.size("got") > 0, F.lit(False))
+    tags = tagged.agg(F.count("*").alias("have"), F.count_if(got).alias("caught"), F.count_if(got & F.arrays_overlap("want", "got")).alias("exact"))
+    tags = tags.withColumn("caught_pct", pct(F.col("caught"), F.col("have"))).withColumn("exact_pct", pct(F.col("exact"), F.col("have")))
+
+    named = F.coalesce(F.nullif(F.lower(F.trim("predicate")), F.lit("")), F.lit("?")).alias("predicate")
+    kinds = edges.groupBy(named).agg(F.count("*").alias("n"))
+    used = kinds.agg(F.count("*").alias("kinds"), F.count_if(F.col("predicate").rlike("[0-9]")).alias("with_digits"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    most = kinds.orderBy(F.desc("n"), "predicate").limit(common)
+
+    each = docs.join(edges.groupBy("id").agg(F.count("*").alias("n")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    strata = each.groupBy("stratum").agg(F.count("*").alias("docs"), F.sum("n").alias("edges"), F.count_if(F.col("n") == 0).alias("none"))
+    strata = strata.withColumn("mean", F.col("edges") / F.col("docs")).withColumn("zero_pct", pct(F.col("none"), F.col("docs")))
+    by_stratum = [of("strata", F.concat_ws(": ", F.col("stratum"), F.lit(c)), F.col(c)) for c in ("docs", "edges", "mean", "zero_pct")]
+    parts = [
+        figures(tags, "tags", ("have", "caught", "exact", "caught_pct", "exact_pct")),
+        rows(edges.groupBy(F.coalesce("level", F.lit(-1)).alias("level")).agg(F.count("*").alias("n")), of("levels", F.col("level"), F.col("n"))),
+        figures(used, "predicates", ("kinds", "with_digits", "edges")),
+        rows(most, of("common", F.col("predicate"), F.col("n"))),
+        rows(strata, *by_stratum),
+        rows(drops.groupBy("kind", "reason").agg(F.count("*").alias("n")), of("drops", F.concat_ws(": ", "kind", "reason"), F.col("n"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def media_coverage(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Per key the number of known addresses, how many were found, and the others as ``missing``.
+
+    An address is found if one of the same key equals it, or if either, without its scheme, stands within the other: a
+    copy on another host counts. Keys have few addresses, and only those of one key meet.
+    """
+    tail = lambda c: F.substring_index(c, "://", -1)
+    known = truth.select(key, "url").distinct()
+    got = found.select(key, F.col("url").alias("got")).distinct()
+    hit = (F.col("url") == F.col("got")) | F.contains(F.col("got"), tail(F.col("url"))) | F.contains(F.col("url"), tail(F.col("got")))
+    each = known.join(got, key, "left").groupBy(key, "url").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"))
+    missing = F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("url"))))
+    return each.groupBy(key).agg(F.count("*").alias("total"), F.count_if("hit").alias("found"), missing.alias("missing"))

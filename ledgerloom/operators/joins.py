@@ -68,3 +68,8 @@ def resolve_references(rows: DataFrame, table: DataFrame, key: str, refs: str) -
     each = rows.select(key, F.posexplode(refs).alias("pos", "ref")).join(table, "ref")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "url")))
     return each.groupBy(key).agg(F.transform(ordered, lambda x: x["url"]).alias("urls"))
+
+
+def routes_not_events(routes: DataFrame, events: DataFrame, page: str = "page_id", url: str = "url") -> DataFrame:
+    """Routes whose address is no event's on the same page; an event is a leaf. ``events`` has a row per page and address."""
+    return routes.join(events.select(page, url), [page, url], "left_anti").select(*routes.columns)

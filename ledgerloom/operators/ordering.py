@@ -32,12 +32,27 @@ def host_fair_positions(events: DataFrame, now: Column) -> DataFrame:
     return dealt.select("event_id", (F.when(F.col("is_new"), 0).otherwise(10000) + (F.col("seq") - 0.5) * F.col("n_host") / F.greatest("n_pop", F.lit(1)) + hash_jitter(F.col("host"))).alias("queue_pos"))
 
 
-def even_spacing(df: DataFrame, order: list, period_s: float, whole: bool = False) -> DataFrame:
-    """offset_s: rows in order spread evenly over a period. The one window over all rows reads a queue snapshot, not its history."""
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    offset = F.floor(rank * int(period_s) / n) if whole else rank / n * period_s
-    return df.withColumn("offset_s", offset)
+def ranked(df: DataFrame, order: list, part: Column, part_ascending: bool = True, name: str = "rank") -> DataFrame:
+    """``name``: the place of each row, from 0, in the order of ``part`` (null first) and then ``order``.
+
+    Only rows of one value of ``part``, a prefix of the order that has many values such as a day, are sorted together;
+    the window over all parts reads a row for each.
+    """
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    by = F.col("_part").asc_nulls_first() if part_ascending else F.col("_part").desc_nulls_last()
+    before = F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return rows.withColumn("_within", within).join(starts, F.col("_part").eqNullSafe(F.col("_p"))).withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_p", "_before", "_within")
+
+
+def even_spacing(df: DataFrame, order: list, part: Column, period_s: float, whole: bool = False) -> DataFrame:
+    """offset_s: rows in order spread evenly over a period. ``part`` is a prefix of the order (see ``ranked``)."""
+    n = df.agg(F.count("*").alias("_all"))
+    rows = ranked(df, order, part, name="_rank").crossJoin(n)  # one row
+    offset = F.floor(F.col("_rank") * int(period_s) / F.col("_all")) if whole else F.col("_rank") / F.col("_all") * period_s
+    return rows.withColumn("offset_s", offset).drop("_rank", "_all")
 
 
 def islands(df: DataFrame, by: list[str], x: str, gap: float) -> DataFrame:

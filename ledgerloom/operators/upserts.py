@@ -1,5 +1,8 @@
 """Upserts and state changes as pure functions from snapshot and batch to the next snapshot.
 
+Where a version ties or a key repeats, the least row by its other columns counts, so results never depend on the order
+in which rows arrive.
+
 Every function is idempotent: applying a batch again gives the same rows, so a job that is run anew after a
 failure does no harm.
 """
@@ -24,18 +27,24 @@ def merge_upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str,
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the greatest version per key."""
+    """The row of the greatest version per key; of several, the greatest by their columns in order."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *rest)).alias("_row")).select(*keys, "_row.*")
+
+
+def first_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the least by its other columns in order."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_row")).select(*keys, "_row.*")
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else df.distinct()
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    return old.unionByName(first_of(new, keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
 def never_downgrade(df: DataFrame, keys: list[str], status: str, final: str, version: str) -> DataFrame:
     """The latest status per key, unless it ever was final."""
-    return df.groupBy(*keys).agg(F.when(F.bool_or(F.col(status) == final), final).otherwise(F.max_by(status, version)).alias(status))
+    return df.groupBy(*keys).agg(F.when(F.bool_or(F.col(status) == final), final).otherwise(F.max_by(status, F.struct(version, status))).alias(status))
 
 
 def repair(df: DataFrame, columns: dict[str, str], log: str = "meta_fixed") -> DataFrame:
@@ -47,7 +56,7 @@ def repair(df: DataFrame, columns: dict[str, str], log: str = "meta_fixed") -> D
 
 def fenced(snapshot: DataFrame, completions: DataFrame, key: str, token: str, changes: dict[str, str]) -> DataFrame:
     """Apply completions whose token is still the row's own; stale ones change nothing."""
-    c = completions.dropDuplicates([key, token])
+    c = first_of(completions, [key, token])
     out = snapshot.join(c, [key, token], "left")
     return out.withColumns({old: F.coalesce(F.col(new), F.col(old)) for old, new in changes.items()}).select(*snapshot.columns)
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, udfs, urls
 from ledgerloom.functions.nested import table_kind
-from ledgerloom.operators import aggregates, blocks, control, graph
+from ledgerloom.operators import aggregates, blocks, control, graph, readers
 from ledgerloom.plans import normalise
 from ledgerloom.plans.catalog_scalar import EACH_URL, SQL_PERIOD, each_url, media, sql_canon
 from ledgerloom.plans.domain import EVENTS_NOW, QUEUE_NOW, load, ts, with_tables
@@ -24,19 +23,27 @@ NOW_SQL = f"TIMESTAMP '{EVENTS_NOW}'"
 
 
 def scratch(spark, tag: str) -> str:
-    """A new folder that executors share: under the checkpoint folder if there is one, else a local temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder that executors share, under ``spark.checkpoint.dir``; only a local master may go without that setting."""
+    return files.shared_folder(spark, tag)
 
 
 # --- Sources and sinks ---
 
 
-@query("src_01_02_table_scan", EV + "SELECT event_id, title FROM disc_events WHERE status = 'failed' ORDER BY created_at DESC, event_id LIMIT 1000")
+@query("src_01_table_scan", EV + "SELECT event_id, title FROM disc_events WHERE status = 'failed' ORDER BY created_at DESC, event_id LIMIT 1000")
 def _(spark, d):
     return load(spark, d, "disc_events").where("status = 'failed'").orderBy(F.desc("created_at"), "event_id").limit(1000).select("event_id", "title")
 
 
+@query("src_02_paged_scan", EV + "SELECT event_id, title, (row_number() OVER (ORDER BY created_at DESC, event_id) - 1) // 1000 AS page FROM disc_events WHERE status <> 'enriched'")
+def _(spark, d):
+    from ledgerloom.operators import ordering
+
+    e = load(spark, d, "disc_events").where("status <> 'enriched'")
+    ranked = ordering.ranked(e, [F.desc("created_at"), "event_id"], F.date_trunc("hour", F.col("created_at").cast("timestamp")), part_ascending=False)
+    return ranked.select("event_id", "title", F.floor(F.col("rank") / 1000).alias("page"))
+
+
 @query("src_03_exact_counts", EV + "SELECT count(*) AS n_all, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE media <> '') AS n_media FROM disc_events")
 def _(spark, d):
     return load(spark, d, "disc_events").agg(F.count("*").alias("n_all"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("media") != "").alias("n_media"))
@@ -54,21 +61,7 @@ def _(spark, d):
     return spark.read.schema("item_id long, text string").option("pathGlobFilter", "part*.json").json(f"{folder}/out")
 
 
-@query("src_06_trace_tree", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS n_html, (CASE WHEN c_custkey % 2 = 0 THEN 7 END)::BIGINT AS n_content FROM customer WHERE c_custkey < 20")
-def _(spark, d):
-    folder = scratch(spark, "traces")
-    c = load(spark, d, "customer").where("c_custkey < 20")
-    store = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for r in c.select("c_custkey", "c_name").collect():  # a fixture of twenty folders
-        for name, body in (("meta.json", f'{{"id": "{r.c_custkey}"}}'), ("page.html", r.c_name), *((("content.txt", "content"),) if r.c_custkey % 2 == 0 else ())):
-            out = store.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/a/{r.c_custkey}/{name}"))
-            out.write(bytearray(body.encode()))
-            out.close()
-    t = files.read_traces(spark, folder)
-    return t.select(F.get_json_object("meta", "$.id").alias("id"), "n_html", "n_content")
-
-
-@query("src_06_trace_tree_whole", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS n_html, (CASE WHEN c_custkey % 2 = 0 THEN 7 END)::BIGINT AS n_content FROM customer")
+@query("src_06_trace_tree", "SELECT c_custkey::VARCHAR AS id, length(c_name)::BIGINT AS n_html, (CASE WHEN c_custkey % 2 = 0 THEN 7 END)::BIGINT AS n_content FROM customer")
 def _(spark, d):
     folder = scratch(spark, "traces")
     meta = F.format_string('{"id": "%d"}', "c_custkey")
@@ -96,8 +89,8 @@ def _(spark, d):
 
 @query("src_10_body_extraction")
 def _(spark, d):
-    body = load(spark, d, "pages").select("page_id", udfs.html_inline("html", "url").alias("body"), F.size(udfs.html_tables("html")).alias("n_tables"))
-    return body.select("page_id", F.when(F.trim("body") == "", "empty").otherwise("inline").alias("tier"), F.length("body").alias("n_chars"), "n_tables")
+    p = load(spark, d, "pages").select("page_id", udfs.body_udf("html", "url").alias("b"), F.size(udfs.html_tables("html")).alias("n_tables"))
+    return p.select("page_id", "b.tier", F.length("b.body").alias("n_chars"), F.md5("b.body").alias("body_md5"), "n_tables")
 
 
 SYNTHETIC_TABLE = "concat('<table><tr><th>Year</th><th>', c_mktsegment, '</th></tr><tr><td>2024</td><td>', c_custkey, '</td></tr></table><table role=\"presentation\"><tr><td>', c_name, '</td></tr></table>')"
@@ -118,7 +111,7 @@ def _(spark, d):
     return columns.groupBy("l_suppkey").agg(F.count("*").alias("n_columns"), F.max("edge").alias("last_edge")).where("n_columns >= 2")
 
 
-@query("src_13_14_reader_ladder", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 3 = 1 THEN 'ocr' ELSE 'empty' END AS via, CASE WHEN doc_id % 3 < 2 THEN length(text) ELSE 0 END::BIGINT AS n_chars FROM documents WHERE trim(text) <> ''")
+@query("src_13_reader_ladder", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 3 = 1 THEN 'ocr' ELSE 'empty' END AS via, CASE WHEN doc_id % 3 < 2 THEN length(text) ELSE 0 END::BIGINT AS n_chars FROM documents WHERE trim(text) <> ''")
 def _(spark, d):
     x = load(spark, d, "documents").where(F.trim("text") != "")
     tiers = {"text": F.when(F.col("doc_id") % 3 == 0, F.col("text")), "ocr": F.when(F.col("doc_id") % 3 == 1, F.col("text")), "legacy": F.lit(" ")}
@@ -126,15 +119,56 @@ def _(spark, d):
     return x.select("doc_id", via.alias("via"), F.length(body).cast("long").alias("n_chars"))
 
 
-@query("src_15_magic_bytes", "SELECT c_custkey, (['pdf', 'html', 'xlsx', 'docx', 'guess'])[(c_custkey % 5 + 1)::INT] AS fmt FROM customer")
+@query(
+    "src_14_sheet_tables",
+    """WITH c AS (SELECT l_orderkey AS file, 'Tab' || l_linenumber % 2 AS sheet, l_linenumber * 2 AS row, l_partkey % 3 * 5 AS col,
+    CASE WHEN l_linenumber = 1 THEN 'Sales of ' || l_returnflag WHEN l_linenumber = 2 THEN '2018-05-11 00:00' WHEN l_linenumber = 5 THEN ' ' ELSE l_partkey::VARCHAR END AS value FROM lineitem),
+  f AS (SELECT file, sheet, row, col, min(trim(value)) AS v FROM c WHERE trim(value) <> '' GROUP BY ALL),
+  p AS (SELECT file, sheet, dense_rank() OVER (PARTITION BY file, sheet ORDER BY row) - 1 AS r, dense_rank() OVER (PARTITION BY file, sheet ORDER BY col) - 1 AS c, v FROM f),
+  w AS (SELECT file, sheet, max(r) AS last_r, max(c) AS last_c, arg_min(v, r * 1000 + c) FILTER (WHERE r < 2 AND length(v) BETWEEN 4 AND 60 AND len(regexp_extract_all(v, '[0-9]')) * 2 < length(v)) AS heading FROM p GROUP BY 1, 2),
+  g AS (SELECT file, sheet, r, unnest(range(0, last_c + 1)) AS c FROM (SELECT file, sheet, last_c, unnest(range(0, last_r + 1)) AS r FROM w)),
+  l AS (SELECT g.file, g.sheet, g.r, string_agg(coalesce(v, ''), '|' ORDER BY g.c) AS line FROM g LEFT JOIN p USING (file, sheet, r, c) GROUP BY 1, 2, 3)
+  SELECT file, sheet, coalesce(heading, sheet) AS heading, string_agg(line, '/' ORDER BY r) AS grid FROM l JOIN w USING (file, sheet) GROUP BY 1, 2, 3""",
+)
 def _(spark, d):
-    raw = F.element_at(F.array(F.lit(b"%PDF-1.7"), F.lit(b" <!DOCTYPE html>"), F.lit(b"PK\x03\x04aaxl/w"), F.lit(b"PK\x03\x04aaword/"), F.lit(b"plain")), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return load(spark, d, "customer").select("c_custkey", files.sniffed_format(raw, F.lit("guess")).alias("fmt"))
+    n = F.col("l_linenumber")
+    value = F.when(n == 1, F.concat(F.lit("Sales of "), "l_returnflag")).when(n == 2, "2018-05-11 00:00").when(n == 5, " ").otherwise(F.col("l_partkey").cast("string"))
+    cells = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.concat(F.lit("Tab"), (n % 2).cast("string")).alias("sheet"), (n * 2).alias("row"), (F.col("l_partkey") % 3 * 5).alias("col"), value.alias("value"))
+    t = readers.sheet_tables(cells)
+    return t.select("file", "sheet", "heading", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/").alias("grid"))
+
+
+@query(
+    "src_16_transcripts",
+    """WITH a AS (SELECT conv_id AS id, CASE WHEN conv_id % 13 = 0 THEN 0 ELSE 9 END AS n_bytes, CASE WHEN conv_id % 7 = 0 THEN 9000.0 ELSE 60.0 END AS duration_s FROM conversations GROUP BY conv_id),
+  s AS (SELECT conv_id AS id, turn, trim(text) AS t FROM conversations WHERE conv_id % 5 <> 4), u AS (SELECT id, count(*) AS n, trim(string_agg(t, ' ' ORDER BY turn)) AS said FROM s GROUP BY id),
+  r AS (SELECT a.id, CASE WHEN n_bytes = 0 THEN 'empty-bytes' WHEN duration_s > 7200 THEN 'too-long' WHEN n IS NULL THEN 'transcribe-failed' WHEN a.id % 5 = 3 THEN 'fallback:small' ELSE '' END AS reason, n, said FROM a LEFT JOIN u USING (id))
+  SELECT id, reason, CASE WHEN reason IN ('', 'fallback:small') THEN n ELSE 0 END AS n_segments, md5(CASE WHEN reason IN ('', 'fallback:small') THEN said ELSE '' END) AS said FROM r""",
+)
+def _(spark, d):
+    c = load(spark, d, "conversations").withColumnRenamed("conv_id", "id")
+    i, start = F.col("id"), F.col("turn") * 2.504
+    audio = c.select("id").distinct().select("id", F.when(i % 13 == 0, 0).otherwise(9).alias("n_bytes"), F.when(i % 7 == 0, 9000.0).otherwise(60.0).alias("duration_s"))
+    by = lambda model, rows: rows.select("id", F.lit(model).alias("model"), start.alias("start_s"), (start + 1).alias("end_s"), "text")
+    # The large model heard three in five recordings, the small one all but one in five.
+    said = by("large", c.where(i % 5 < 3)).unionByName(by("small", c.where(i % 5 < 4))).unionByName(by("unknown", c))
+    out = readers.transcripts(audio, said, ["large", "small"], 7200.0)
+    return out.select("id", "reason", "n_segments", F.md5("text").alias("said"))
 
 
-@query("src_16_segments", "SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+@query("blk_01_html_blocks")
 def _(spark, d):
-    return load(spark, d, "segments").groupBy(F.col("event_id").alias("conv_id")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    p = load(spark, d, "pages")
+    html = F.concat("html", F.when(F.col("page_id") % 3 == 0, F.expr("concat('<table><tr><th>Year</th><th>Id</th></tr><tr><td>2024</td><td>', page_id, '</td></tr></table><p>After it.</p>')")).otherwise(""))
+    page = p.select("page_id", "url", html.alias("html"))
+    b = page.select("page_id", F.explode(blocks.spliced_udf(udfs.markdown_udf("html", "url"), udfs.html_tables("html"))).alias("b"))
+    return b.select("page_id", "b.ord", "b.type", F.md5("b.md").alias("md_md5"), F.array_join("b.headers", "|").alias("headers"), F.size("b.rows").alias("n_rows"))
+
+
+@query("src_15_magic_bytes", "SELECT c_custkey, (['pdf', 'html', 'xlsx', 'docx', 'guess'])[(c_custkey % 5 + 1)::INT] AS fmt FROM customer")
+def _(spark, d):
+    raw = F.element_at(F.array(F.lit(b"%PDF-1.7"), F.lit(b" <!DOCTYPE html>"), F.lit(b"PK\x03\x04aaxl/w"), F.lit(b"PK\x03\x04aaword/"), F.lit(b"plain")), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return load(spark, d, "customer").select("c_custkey", files.sniffed_format(raw, F.lit("guess")).alias("fmt"))
 
 
 @query("src_17_batch_upsert", EV + "SELECT company_id, run_id, min(event_id) AS event_id, count(DISTINCT nullif(source_url, '')) AS sources FROM disc_events GROUP BY 1, 2")
@@ -203,10 +237,10 @@ def _(spark, d):
 
 @query("jon_14_update_from", WQ + "SELECT id, CASE WHEN r.rk IS NULL THEN priority ELSE r.rk END AS priority FROM work_queue LEFT JOIN (SELECT id, row_number() OVER (ORDER BY due_at, id) AS rk FROM work_queue WHERE status = 'queued' AND type = 'full') r USING (id)")
 def _(spark, d):
-    from pyspark.sql import Window
+    from ledgerloom.operators import ordering
 
     q = load(spark, d, "work_queue")
-    ranked = q.where("status = 'queued' and type = 'full'").select("id", F.row_number().over(Window.orderBy("due_at", "id")).alias("rk"))
+    ranked = ordering.ranked(q.where("status = 'queued' and type = 'full'"), ["due_at", "id"], F.col("due_at").cast("date")).select("id", (F.col("rank") + 1).alias("rk"))
     return q.join(ranked, "id", "left").select("id", F.coalesce("rk", "priority").alias("priority"))
 
 
@@ -218,11 +252,11 @@ def _(spark, d):
     return ordering.top_per_group(frontier, ["event_id"], [F.desc("score"), "url"], 2).select("event_id", "url")
 
 
-@query("srt_12_worst_covered_first", with_tables("companies", "disc_events") + "SELECT company_id, coalesce(n, 0) AS n FROM companies LEFT JOIN (SELECT company_id, count(*) AS n FROM disc_events GROUP BY 1) USING (company_id) ORDER BY 2, 1 LIMIT 30")
+@query("srt_12_worst_covered_first", with_tables("companies", "disc_events") + "SELECT company_id, coalesce(n, 0) AS n FROM companies LEFT JOIN (SELECT company_id, count(*) AS n FROM disc_events GROUP BY 1) USING (company_id)")
 def _(spark, d):
     from ledgerloom.operators import joins
 
-    return joins.left_counts(load(spark, d, "companies"), load(spark, d, "disc_events"), "company_id", "n").orderBy("n", "company_id").limit(30).select("company_id", "n")
+    return joins.left_counts(load(spark, d, "companies"), load(spark, d, "disc_events"), "company_id", "n").orderBy("n", "company_id").select("company_id", "n")
 
 
 @query("ups_18_publish_singleton", "SELECT 1 AS id, 8400.0::DOUBLE AS t_star_s, 'vlm' AS binding")
@@ -242,17 +276,36 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", text.norm_evidence(udfs.nfkc("text")).alias("v"))
 
 
-@query("txt_05_grounded", "SELECT doc_id, true AS g FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 12")
+@query(
+    "txt_05_grounded",
+    """WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS s FROM documents),
+  e AS (SELECT doc_id, s, list_filter(CASE doc_id % 4 WHEN 0 THEN s[3:11] WHEN 1 THEN s[3:5] || ['changed'] || s[7:8] WHEN 2 THEN s[3:4] || ['x1'] || s[6:7] || ['x2'] || s[9:10] || ['x3'] ELSE s[3:4] END, lambda x: x IS NOT NULL) AS e FROM w),
+  n AS (SELECT doc_id, s, e, least(6, len(e)) AS n FROM e),
+  i AS (SELECT doc_id, s, e, n, unnest(range(1, greatest(len(e) - n, -1) + 2)) AS i FROM n WHERE len(e) >= 3),
+  j AS (SELECT doc_id, s, e, n, i, unnest(range(1, greatest(len(s) - n, -1) + 2)) AS j FROM i),
+  g AS (SELECT DISTINCT doc_id FROM j WHERE len(list_filter(range(0, n), lambda k: e[i + k] <> s[j + k])) <= 1)
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM g) AS g FROM documents""",
+)
 def _(spark, d):
-    w = load(spark, d, "documents").select("doc_id", F.split(text.norm_words(F.col("text")), " ").alias("w")).where((F.size("w") >= 12) & (F.get("w", F.lit(0)) != ""))
-    evidence = F.concat_ws(" ", F.slice("w", 3, 3), F.lit("changed"), F.slice("w", 7, 2))
-    return w.select("doc_id", udfs.grounded_udf(evidence, F.concat_ws(" ", "w")).alias("g"))
+    # Evidence as it stands, with one word changed, with words changed in every window, and of too few words.
+    w = load(spark, d, "documents").select("doc_id", F.filter(F.split(text.norm_words(F.coalesce("text", F.lit(""))), " "), lambda x: x != "").alias("w"))
+    part, words = lambda a, n: F.slice("w", a, n), lambda x: F.array(F.lit(x))
+    k = F.col("doc_id") % 4
+    broken = F.concat(part(3, 2), words("x1"), part(6, 2), words("x2"), part(9, 2), words("x3"))
+    evidence = F.when(k == 0, part(3, 9)).when(k == 1, F.concat(part(3, 3), words("changed"), part(7, 2))).when(k == 2, broken).otherwise(part(3, 2))
+    return w.select("doc_id", udfs.grounded_udf(F.array_join(evidence, " "), F.array_join("w", " ")).alias("g"))
 
 
-@query("txt_07_08_tagged_links", "SELECT page_id, '[a](L1) [b](L2) [c](L1)' AS tagged, url AS l1 FROM pages WHERE NOT contains(url, ')')")
+@query(
+    "txt_07_08_tagged_links",
+    """WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '(a)b' ELSE url END AS url FROM pages)
+  SELECT page_id, '[a](L1)' || tail || ' [b](L2) [c](L1)' || tail || ' [d](/e)' AS tagged, split_part(url, ')', 1) AS l1 FROM (SELECT *, CASE WHEN contains(url, ')') THEN substr(url, strpos(url, ')') + 1) || ')' ELSE '' END AS tail FROM u)""",
+)
 def _(spark, d):
-    p = load(spark, d, "pages").where(~F.col("url").contains(")"))
-    t = udfs.tag_links_udf(F.concat(F.lit("[a]("), "url", F.lit(") [b](https://z.example.com/) [c]("), "url", F.lit(")")))
+    # An address that holds a bracket is cut there, as Markdown would; a relative one is no link.
+    url = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("(a)b"))).otherwise(F.col("url"))
+    p = load(spark, d, "pages").select("page_id", url.alias("url"))
+    t = udfs.tag_links_udf(F.concat(F.lit("[a]("), "url", F.lit(") [b](https://z.example.com/) [c]("), "url", F.lit(") [d](/e)")))
     return p.select("page_id", t.alias("t")).select("page_id", F.col("t.text").alias("tagged"), F.col("t.refs")["L1"].alias("l1"))
 
 
@@ -353,28 +406,27 @@ def _(spark, d):
 # --- Pipelines ---
 
 
-@query(
-    "nrm_01_03_normalise_events",
-    EV
-    + """SELECT event_id, CASE WHEN event_id % 12 = 7 THEN '2024-02-30' WHEN event_id % 12 IN (5, 6) THEN '2024' WHEN event_id % 12 = 11 THEN left(event_date, 10) ELSE coalesce(event_date, '') END AS event_date,
-  CASE WHEN lower(trim(event_type)) IN ('earnings', 'press_release', 'webcast') THEN lower(trim(event_type)) ELSE 'other' END AS event_type,
-  CASE WHEN event_id % 6 = 0 AND coalesce(event_date, '') = '' THEN 'no_identity' WHEN event_id % 6 = 4 AND coalesce(event_date, '') = '' THEN 'no_identity' WHEN event_id % 12 = 10 THEN 'implausible_date' END AS drop_reason FROM disc_events WHERE event_id % 6 <> 4""",
-)
-def _(spark, d):
-    raw = media(load(spark, d, "disc_events")).where("event_id % 6 <> 4")
-    return normalise.normalise_events(raw, now_year=2020).select("event_id", "event_date", "event_type", "drop_reason")
-
-
-@query("nrm_01_03_normalise_events_whole")
+@query("nrm_01_03_normalise_events")
 def _(spark, d):
     return normalise.normalise_events(media(load(spark, d, "disc_events")), now_year=2020).select("event_id", "event_date", "event_type", "drop_reason", F.array_join("urls", " ").alias("urls"))
 
 
-@query("nrm_02_normalise_routes", "SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM pages WHERE page_id % 3 < 2 AND NOT regexp_matches(url, '\\.pdf')")
+@query(
+    "nrm_02_normalise_routes",
+    """WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) AS site, url FROM pages),
+  r AS (SELECT page_id, site || '/up/x?y=1' AS url, 0.5::DOUBLE AS score FROM b UNION ALL SELECT page_id, site || '/Events/q1', 0.95 FROM b UNION ALL SELECT page_id, site || '/list', 0.4 FROM b WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 'https://tag.example.com/' || page_id, 1.0 FROM b WHERE page_id % 3 = 0) SELECT * FROM r""",
+)
 def _(spark, d):
-    p = load(spark, d, "pages").where(~F.col("url").rlike(r"\.pdf"))
-    score = F.when(F.col("page_id") % 3 == 0, "unsure").when(F.col("page_id") % 3 == 1, "7").otherwise("-1")
-    return normalise.normalise_routes(p.select("page_id", "url", score.alias("s")), F.col("s"))
+    p = load(spark, d, "pages").withColumn("site", F.regexp_extract("url", "^(https?://[^/]*)", 1))
+    r = lambda ref, score, when=F.lit(True): F.struct(F.lit(ref).alias("ref"), F.when(when, F.lit(score)).alias("s"), when.alias("there"))
+    id_ = F.col("page_id")
+    # Relative ones, an unreadable score, a repeat with another score, a low score, an asset, a document, a noise page, tags known and not.
+    refs = [r("../up/./x?y=1", "unsure"), r("/Events/q1", "0.4"), r("/list", "0.4", id_ % 2 == 0), r("/list", "0.9", id_ % 2 == 0), r("/low", "-3"), r("/feed.xml", "1"), r("/q1.pdf", "1"), r("/careers", "1"), r("L1", "7", id_ % 3 == 0), r("L9", "1")]
+    base = F.concat("site", F.lit("/dir/page.html"))
+    routes = p.select("page_id", base.alias("base"), F.posexplode(F.array(*refs)).alias("pos", "r")).where("r.there").select("page_id", "base", "pos", "r.ref", "r.s")
+    tags = p.select("page_id", F.lit("L1").alias("ref"), F.concat(F.lit("https://tag.example.com/"), id_.cast("string")).alias("url"))
+    return normalise.normalise_routes(routes, tags, F.col("s"))
 
 
 @query("nrm_04_chunk_merge", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_events, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'partial' END END AS flag FROM documents")
@@ -385,9 +437,24 @@ def _(spark, d):
     return normalise.merge_chunks(found, failures, "doc_id").select("doc_id", "n_events", "flag")
 
 
-@query("nrm_05_combine", EACH_URL + " SELECT count(*) AS n FROM pages WHERE url NOT IN (SELECT url FROM urls)")
+@query(
+    "nrm_05_combine",
+    """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 2 = 0 THEN 2 ELSE 0 END::INT AS n_events, CASE WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 2 = 0 THEN 1 ELSE 2 END::INT AS n_routes,
+  CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 5 = 0 THEN 'partial' WHEN page_id % 7 = 0 THEN 'route_error' ELSE '' END AS flag,
+  CASE WHEN page_id % 7 > 0 THEN url || '/b' END AS last_route FROM pages""",
+)
 def _(spark, d):
-    return load(spark, d, "pages").join(each_url(spark, d).select("url"), "url", "left_anti").agg(F.count("*").alias("n"))
+    p = load(spark, d, "pages")
+    failed = lambda n, name: F.when(F.col("page_id") % n == 0, "failed").alias(name)
+    state = p.select("page_id", failed(11, "error"), failed(7, "route_error"), failed(5, "partial"))
+    a, b = F.concat("url", F.lit("/a")), F.concat("url", F.lit("/b"))
+    titles = F.explode(F.array(F.lit("Q1"), F.lit("Q2"))).alias("title")
+    events = p.where("page_id % 2 = 0").select("page_id", titles, F.array(a, F.lit("https://x.example.com/")).alias("urls"))
+    # An event of the page before holds this page's second route, which stays: only the page's own events count.
+    other = p.where("page_id % 2 = 0").select((F.col("page_id") + 100000000).alias("page_id"), F.lit("Q3").alias("title"), F.array(b).alias("urls"))
+    routes = p.select("page_id", F.explode(F.array(a, b)).alias("url"), F.lit(0.5).alias("score"))
+    out = normalise.combine_pages(state, events.unionByName(other), routes)
+    return out.select("page_id", F.size("events").alias("n_events"), F.size("routes").alias("n_routes"), "flag", F.try_element_at(F.col("routes.url"), F.lit(-1)).alias("last_route"))
 
 
 @query("nrm_06_07_fill_and_overwrite", EV + "SELECT event_id, coalesce(nullif(source_url, ''), nullif(media, '')) AS filled, coalesce(nullif(media, ''), nullif(source_url, '')) AS overwritten FROM disc_events")
@@ -398,15 +465,20 @@ def _(spark, d):
 
 @query(
     "nrm_08_site_crawl",
-    "SELECT s.site, 's' || s.site || '/' || p AS url, r::INT AS round FROM (SELECT unnest(range(5)) AS site) s, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS p, unnest([0, 1, 1, 2, 2, 2, 2]) AS r)",
+    """WITH s AS (SELECT c_custkey AS site, 'https://s' || c_custkey || '.com/' AS home FROM customer)
+  SELECT site, home || p AS url, r::INT AS round FROM s, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS p, unnest([0, 1, 1, 2, 2, 2, 2]) AS r)
+  WHERE site % 3 < 2 OR r < 2""",
 )
 def _(spark, d):
-    pages = spark.range(5).selectExpr("id AS site").crossJoin(spark.range(7).selectExpr("id AS p"))
-    name = lambda p: F.concat(F.lit("s"), F.col("site").cast("string"), F.lit("/"), p.cast("string"))
-    links = pages.where("p < 3").select(name(F.col("p")).alias("url"), F.explode(F.array(*[F.struct(name(F.col("p") * 2 + k).alias("target"), s.alias("score")) for k, s in ((1, F.lit(0.9)), (2, F.lit(0.5)))])).alias("x"))
-    weak = pages.where("p = 0").select(name(F.col("p")).alias("url"), F.lit("off").alias("target"), F.lit(0.1).alias("score"))
-    seeds = pages.where("p = 0").select(F.col("site"), name(F.col("p")).alias("url"))
-    return normalise.crawl(seeds, links.select("url", "x.target", "x.score").unionByName(weak))
+    # A walk per customer over a tree of seven pages; some links lead off the site or score too low, and the pages of
+    # every third site take so long that its time is up after the second round.
+    seeds = load(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.concat(F.lit("https://s"), F.col("c_custkey").cast("string"), F.lit(".com/0")).alias("url"))
+    page = lambda k: F.concat(F.substring_index("url", "/", 3), F.lit("/"), k.cast("string"))
+    tree = seeds.select("site", "url", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("p"))
+    way = lambda target, score: F.struct(target.alias("target"), F.lit(score).alias("score"))
+    ways = F.array(way(page(F.col("p") * 2 + 1), 0.9), way(page(F.col("p") * 2 + 2), 0.5), way(page(F.col("p") + 100), 0.1), way(F.lit("https://else.example.org/"), 1.0))
+    links = tree.select(page(F.col("p")).alias("url"), F.explode(ways).alias("w"), F.when(F.col("site") % 3 == 2, 301.0).otherwise(1.0).alias("takes")).select("url", "w.target", "w.score", "takes")
+    return normalise.crawl(seeds, links, scratch(spark, "crawl"), same_site=True, page_s="takes")
 
 
 @query("nrm_09_hash_gate", "SELECT doc_id, doc_id % 2 = 1 OR doc_id % 10 = 0 AS changed FROM documents")
@@ -539,17 +611,6 @@ def _(spark, d):
 @query(
     "ctl_08_host_pacing",
     WQ
-    + """, r AS (SELECT id, company_id % 97 AS host, (id % 500)::DOUBLE AS at_s, row_number() OVER (PARTITION BY company_id % 97 ORDER BY id % 500, id) - 1 AS i FROM work_queue WHERE id < 3000)
-  SELECT id, max(at_s - i * 1.5::DOUBLE) OVER (PARTITION BY host ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) + i * 1.5::DOUBLE AS start_s FROM r""",
-)
-def _(spark, d):
-    r = load(spark, d, "work_queue").where("id < 3000").selectExpr("id", "company_id % 97 AS host", "cast(id % 500 as double) AS at_s")
-    return control.paced_starts(r, "host", "at_s", 1.5).select("id", "start_s")
-
-
-@query(
-    "ctl_08_host_pacing_whole",
-    WQ
     + """, r AS (SELECT id, company_id % 97 AS host, (id % 500)::DOUBLE AS at_s, row_number() OVER (PARTITION BY company_id % 97 ORDER BY id % 500, id) - 1 AS i FROM work_queue)
   SELECT id, max(at_s - i * 1.5::DOUBLE) OVER (PARTITION BY host ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) + i * 1.5::DOUBLE AS start_s FROM r""",
 )
@@ -642,15 +703,48 @@ def _(spark, d):
     return graph.capture_rates(load(spark, d, "customer").select(expected.alias("e"), found.alias("f")), "e", "f")
 
 
-@query("grf_07_scoreboard", "SELECT lang, count(*) AS n, avg(n_chars) AS mean, (100 * count(*) FILTER (WHERE n_chars = 0)) // greatest(count(*), 1) AS zero_pct FROM documents GROUP BY 1")
+@query(
+    "grf_07_scoreboard",
+    """WITH d AS (SELECT c_custkey AS id, c_mktsegment AS stratum, c_custkey % 4 AS k FROM customer),
+  e AS (SELECT id, stratum, j, CASE WHEN j = 3 THEN NULL ELSE j END AS level, CASE j WHEN 1 THEN 'buys' WHEN 2 THEN 'owns 5%' ELSE '?' END AS predicate FROM (SELECT id, stratum, unnest(range(1, k + 1)) AS j FROM d)),
+  t AS (SELECT count(*) FILTER (WHERE k < 3) AS have, count(*) FILTER (WHERE k IN (0, 1)) AS caught, count(*) FILTER (WHERE k = 0) AS exact FROM d),
+  s AS (SELECT stratum, count(*) AS docs, sum(k) AS edges, count(*) FILTER (WHERE k = 0) AS none FROM d GROUP BY 1),
+  p AS (SELECT predicate, count(*) AS n FROM e GROUP BY 1)
+  SELECT 'tags' AS section, 'have' AS key, have::DOUBLE AS value FROM t UNION ALL SELECT 'tags', 'caught', caught FROM t UNION ALL SELECT 'tags', 'exact', exact FROM t
+  UNION ALL SELECT 'tags', 'caught_pct', 100 * caught // have FROM t UNION ALL SELECT 'tags', 'exact_pct', 100 * exact // have FROM t
+  UNION ALL SELECT 'levels', coalesce(level, -1)::VARCHAR, count(*) FROM e GROUP BY 2
+  UNION ALL SELECT 'predicates', 'kinds', count(*) FROM p UNION ALL SELECT 'predicates', 'with_digits', count(*) FILTER (WHERE regexp_matches(predicate, '[0-9]')) FROM p UNION ALL SELECT 'predicates', 'edges', sum(n) FROM p
+  UNION ALL SELECT 'common', predicate, n FROM p
+  UNION ALL SELECT 'strata', stratum || ': docs', docs FROM s UNION ALL SELECT 'strata', stratum || ': edges', edges FROM s UNION ALL SELECT 'strata', stratum || ': mean', edges / docs FROM s UNION ALL SELECT 'strata', stratum || ': zero_pct', 100 * none // docs FROM s
+  UNION ALL SELECT 'drops', CASE WHEN id % 2 = 0 THEN 'edge: self_loop' ELSE 'mention: unknown' END, count(*) FROM d GROUP BY 2""",
+)
 def _(spark, d):
-    return load(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.floor(100 * F.count_if(F.col("n_chars") == 0) / F.greatest(F.count("*"), F.lit(1))).alias("zero_pct"))
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("stratum"), (F.col("c_custkey") % 4).cast("int").alias("k"))
+    tag = F.concat(F.lit("(NYSE: A"), F.col("id").cast("string"), F.lit(")"))
+    docs = c.select("id", "stratum", F.when(F.col("k") < 3, F.array(tag)).otherwise(F.array().cast("array<string>")).alias("tags"))
+    noted = c.where("k <> 2").select("id", F.when(F.col("k") == 0, tag).when(F.col("k") == 1, "(NYSE: OTHER)").alias("exchange_tag"))
+    j = F.col("j")
+    edges = c.where("k > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j"))
+    edges = edges.select("id", F.when(j < 3, j).alias("level"), F.when(j == 1, " Buys").when(j == 2, "owns 5%").alias("predicate"))
+    even = F.col("id") % 2 == 0
+    return graph.scoreboard(docs, noted, edges, c.select(F.when(even, "edge").otherwise("mention").alias("kind"), F.when(even, "self_loop").otherwise("unknown").alias("reason")))
 
 
-@query("grf_08_media_coverage", EACH_URL + f", k AS (SELECT DISTINCT event_id, {sql_canon('url')} AS c FROM urls WHERE starts_with(lower(url), 'http')) SELECT event_id, count(*) AS total, count(*) FILTER (WHERE contains(c, '.pdf')) AS found FROM k GROUP BY 1")
+@query(
+    "grf_08_media_coverage",
+    EACH_URL
+    + """, truth AS (SELECT DISTINCT event_id, url FROM urls), got AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://cdn.example.net/copy/' || split_part(url, '://', -1) ELSE 'https://elsewhere.example.net/' || pos END AS got FROM urls WHERE event_id % 4 < 3),
+  hits AS (SELECT event_id, url, bool_or(coalesce(got = url OR contains(got, split_part(url, '://', -1)) OR contains(url, split_part(got, '://', -1)), false)) AS hit FROM truth LEFT JOIN got USING (event_id) GROUP BY 1, 2)
+  SELECT event_id, count(*) AS total, count(*) FILTER (WHERE hit) AS found, coalesce(string_agg(url, ' ' ORDER BY url) FILTER (WHERE NOT hit), '') AS missing FROM hits GROUP BY 1""",
+)
 def _(spark, d):
-    k = each_url(spark, d).where(F.lower("url").startswith("http")).select("event_id", urls.canon_url(F.col("url")).alias("c")).distinct()
-    return k.groupBy("event_id").agg(F.count("*").alias("total"), F.count_if(F.col("c").contains(".pdf")).alias("found"))
+    # Found as they are, as copies on another host, others instead, and none.
+    u, k = each_url(spark, d), F.col("event_id") % 4
+    copy = F.concat(F.lit("https://cdn.example.net/copy/"), F.substring_index("url", "://", -1))
+    other = F.concat(F.lit("https://elsewhere.example.net/"), F.col("pos").cast("string"))
+    got = u.where(k < 3).select("event_id", F.when(k == 0, F.col("url")).when(k == 1, copy).otherwise(other).alias("url"))
+    out = graph.media_coverage(u, got, "event_id")
+    return out.withColumn("missing", F.array_join("missing", " "))
 
 
 @query("grf_09_table_acceptance", "SELECT count(*) FILTER (WHERE c_custkey % 20 = 0) AS suspicious, count(*) FILTER (WHERE c_custkey % 2 = 0) AS uniform FROM customer")

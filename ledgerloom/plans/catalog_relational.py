@@ -35,9 +35,9 @@ def _(spark, d):
     return joins.left_counts(load(spark, d, "work_queue"), load(spark, d, "disc_events"), "company_id", "n").select("id", "n")
 
 
-@query("jon_03_zero_event_companies_first", CE + "SELECT c.company_id, count(e.event_id) AS n FROM companies c LEFT JOIN disc_events e USING (company_id) GROUP BY 1 ORDER BY 2, 1 LIMIT 100")
+@query("jon_03_zero_event_companies_first", CE + "SELECT c.company_id, count(e.event_id) AS n FROM companies c LEFT JOIN disc_events e USING (company_id) GROUP BY 1")
 def _(spark, d):
-    return joins.left_counts(load(spark, d, "companies"), load(spark, d, "disc_events"), "company_id", "n").select("company_id", "n").orderBy("n", "company_id").limit(100)
+    return joins.left_counts(load(spark, d, "companies"), load(spark, d, "disc_events"), "company_id", "n").orderBy("n", "company_id").select("company_id", "n")
 
 
 @query("jon_04_feed_lookup", CE + f"SELECT e.event_id, c.ticker FROM disc_events e LEFT JOIN companies c ON c.company_id = e.company_id * 20 WHERE e.created_at > TIMESTAMP '{EVENTS_NOW}' - INTERVAL 1 DAY")
@@ -110,13 +110,7 @@ def _(spark, d):
     return joins.url_overlap(e.where("event_id % 24 >= 12"), e.where("event_id % 24 < 12"), ["company_id", "day"]).select("event_id", F.col("hit").alias("reuses"))
 
 
-@query("jon_13_tuple_in", WQ + "SELECT id, claim_token FROM work_queue WHERE (id, claim_token) IN (SELECT o_orderkey, 'tok' || o_orderkey % 5 FROM orders WHERE o_orderkey < 1000)")
-def _(spark, d):
-    held = load(spark, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("tok"), (F.col("o_orderkey") % 5).cast("string")).alias("claim_token"))
-    return load(spark, d, "work_queue").join(held, ["id", "claim_token"], "left_semi").select("id", "claim_token")
-
-
-@query("jon_13_tuple_in_whole", WQ + "SELECT id, claim_token FROM work_queue WHERE (id, claim_token) IN (SELECT o_orderkey, 'tok' || o_orderkey % 5 FROM orders)")
+@query("jon_13_tuple_in", WQ + "SELECT id, claim_token FROM work_queue WHERE (id, claim_token) IN (SELECT o_orderkey, 'tok' || o_orderkey % 5 FROM orders)")
 def _(spark, d):
     held = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("tok"), (F.col("o_orderkey") % 5).cast("string")).alias("claim_token"))
     return load(spark, d, "work_queue").join(held, ["id", "claim_token"], "left_semi").select("id", "claim_token")
@@ -127,10 +121,18 @@ def _(spark, d):
     return load(spark, d, "companies").join(load(spark, d, "disc_events"), "company_id", "left_anti").select("company_id")
 
 
-@query("jon_16_routes_not_events", EACH_URL + " SELECT p.page_id, p.url FROM pages p WHERE split_part(p.url, '?', 1) NOT IN (SELECT url FROM urls) AND p.url LIKE '%/en/%'")
+@query(
+    "jon_16_routes_not_events",
+    """WITH e AS (SELECT CASE WHEN page_id % 5 = 1 THEN page_id + 1 ELSE page_id END AS page_id, split_part(url, '?', 1) AS url FROM pages WHERE page_id % 5 < 3)
+  SELECT page_id, url FROM (SELECT page_id, split_part(url, '?', 1) AS url FROM pages UNION ALL SELECT page_id, url || '/next' FROM pages) r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page_id = r.page_id AND e.url = r.url)""",
+)
 def _(spark, d):
-    p = load(spark, d, "pages").where("url like '%/en/%'").withColumn("bare", F.substring_index("url", "?", 1))
-    return p.join(each_url(spark, d).select(F.col("url").alias("bare")), "bare", "left_anti").select("page_id", "url")
+    p = load(spark, d, "pages")
+    bare = F.substring_index("url", "?", 1)
+    # Events of three pages in five; one of the three holds the address of the page before it, which must not count.
+    events = p.where("page_id % 5 < 3").select(F.when(F.col("page_id") % 5 == 1, F.col("page_id") + 1).otherwise(F.col("page_id")).alias("page_id"), bare.alias("url"))
+    routes = p.select("page_id", bare.alias("url")).unionByName(p.select("page_id", F.concat("url", F.lit("/next")).alias("url")))
+    return joins.routes_not_events(routes, events)
 
 
 @query("jon_17_lookup_label", CE + "SELECT e.event_id, coalesce(c.ticker, 'unknown') AS label FROM disc_events e LEFT JOIN companies c USING (company_id)")
@@ -151,13 +153,7 @@ def _(spark, d):
     return load(spark, d, "companies").join(g, "company_id", "left").select("company_id", F.coalesce("hubs", F.lit("")).alias("hubs"))
 
 
-@query("jon_19_evidence_in_body", r"SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(text, 40, 60), '\s+', ' ', 'g')))) AS grounded FROM documents WHERE NOT regexp_matches(text, '[*_`~#\[\]–—’‘“”-]')")
-def _(spark, d):
-    docs = load(spark, d, "documents").where(~F.col("text").rlike("[*_`~#\\[\\]–—’‘“”-]"))
-    return docs.select("doc_id", F.contains(text.norm_evidence(F.col("text")), text.norm_evidence(F.substring("text", 40, 60))).alias("grounded"))
-
-
-@query("jon_19_evidence_in_body_whole")
+@query("jon_19_evidence_in_body")
 def _(spark, d):
     docs = load(spark, d, "documents").select("doc_id", udfs.nfkc(F.coalesce("text", F.lit(""))).alias("body"), udfs.nfkc(F.coalesce(F.substring("text", 40, 60), F.lit(""))).alias("evidence"))
     return docs.select("doc_id", F.contains(text.norm_evidence(F.col("body")), text.norm_evidence(F.col("evidence"))).alias("grounded"))
@@ -407,7 +403,7 @@ def _(spark, d):
 @query("win_05_even_spacing", WQ + "SELECT id, (row_number() OVER (ORDER BY due_at, id) - 1) / count(*) OVER ()::DOUBLE * 8400 AS offset_s FROM work_queue WHERE type = 'incremental' AND status = 'queued'")
 def _(spark, d):
     q = load(spark, d, "work_queue").where("type = 'incremental' and status = 'queued'")
-    return ordering.even_spacing(q, ["due_at", "id"], 8400.0).select("id", "offset_s")
+    return ordering.even_spacing(q, ["due_at", "id"], F.col("due_at").cast("date"), 8400.0).select("id", "offset_s")
 
 
 @query(
@@ -416,13 +412,13 @@ def _(spark, d):
 )
 def _(spark, d):
     q = load(spark, d, "work_queue").where("type = 'full' and status = 'queued'")
-    spaced = ordering.even_spacing(q, [F.col("last_scanned_at").asc_nulls_first(), "id"], 604800.0, whole=True)
+    spaced = ordering.even_spacing(q, [F.col("last_scanned_at").asc_nulls_first(), "id"], F.col("last_scanned_at").cast("date"), 604800.0, whole=True)
     return spaced.select("id", F.date_format(F.least("due_at", ts(QUEUE_NOW) + F.make_dt_interval(secs=F.col("offset_s"))), "yyyy-MM-dd HH:mm:ss").alias("due"))
 
 
 @query("win_07_spread_by_ordinal", with_tables("companies") + "SELECT company_id, ((row_number() OVER (ORDER BY company_id) - 1) * 604800 // count(*) OVER ())::BIGINT AS offset_s FROM companies")
 def _(spark, d):
-    return ordering.even_spacing(load(spark, d, "companies"), ["company_id"], 604800.0, whole=True).select("company_id", F.col("offset_s").cast("long").alias("offset_s"))
+    return ordering.even_spacing(load(spark, d, "companies"), ["company_id"], F.floor(F.col("company_id") / 1024), 604800.0, whole=True).select("company_id", F.col("offset_s").cast("long").alias("offset_s"))
 
 
 @query("win_08_sequence_numbers", EACH_URL + " SELECT event_id, pos AS ord, url FROM urls")
@@ -432,15 +428,6 @@ def _(spark, d):
 
 @query(
     "win_10_column_islands",
-    "WITH g AS (SELECT l_suppkey, l_quantity * 3 + l_linenumber AS x, l_orderkey FROM lineitem WHERE l_orderkey < 2000), f AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY l_suppkey ORDER BY x) > 4.0 THEN 1 ELSE 0 END AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT l_suppkey, island::BIGINT AS island, count(*) AS n, max(x) AS right_edge FROM i GROUP BY 1, 2",
-)
-def _(spark, d):
-    words = load(spark, d, "lineitem").where("l_orderkey < 2000").select("l_suppkey", (F.col("l_quantity") * 3 + F.col("l_linenumber")).alias("x"))
-    return ordering.islands(words, ["l_suppkey"], "x", 4.0).groupBy("l_suppkey", "island").agg(F.count("*").alias("n"), F.max("x").alias("right_edge"))
-
-
-@query(
-    "win_10_column_islands_whole",
     "WITH g AS (SELECT l_suppkey, l_quantity * 3 + l_linenumber AS x FROM lineitem), f AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY l_suppkey ORDER BY x) > 4.0 THEN 1 ELSE 0 END AS new FROM g), i AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY x ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT l_suppkey, island::BIGINT AS island, count(*) AS n, max(x) AS right_edge FROM i GROUP BY 1, 2",
 )
 def _(spark, d):
@@ -512,9 +499,9 @@ def _(spark, d):
     return load(spark, d, "documents").orderBy(F.md5(F.col("doc_id").cast("string"))).limit(50).select("doc_id")
 
 
-@query("srt_10_random_sample")
+@query("srt_10_random_sample", "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::VARCHAR), doc_id LIMIT 20")
 def _(spark, d):
-    return load(spark, d, "documents").orderBy(F.rand(7)).limit(20).select("doc_id")
+    return load(spark, d, "documents").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(20).select("doc_id")
 
 
 @query("srt_11_offset_page", EV + "SELECT event_id FROM disc_events ORDER BY created_at DESC, event_id LIMIT 25 OFFSET 50")
@@ -585,14 +572,7 @@ def _(spark, d):
     return out.select("event_id", "title", F.col("meta_fixed")["title"].alias("before"))
 
 
-@query("ups_09_fenced_completion", WQ + "SELECT id, CASE WHEN id % 7 = id % 5 THEN 'queued' ELSE status END AS status FROM work_queue WHERE id < 5000")
-def _(spark, d):
-    q = load(spark, d, "work_queue").where("id < 5000")
-    done = q.select("id", F.concat(F.lit("tok"), (F.col("id") % 5).cast("string")).alias("claim_token"), F.lit("queued").alias("new_status"))
-    return upserts.fenced(q, done, "id", "claim_token", {"status": "new_status"}).select("id", "status")
-
-
-@query("ups_09_fenced_completion_whole", WQ + "SELECT id, CASE WHEN id % 7 = id % 5 THEN 'queued' ELSE status END AS status FROM work_queue")
+@query("ups_09_fenced_completion", WQ + "SELECT id, CASE WHEN id % 7 = id % 5 THEN 'queued' ELSE status END AS status FROM work_queue")
 def _(spark, d):
     q = load(spark, d, "work_queue")
     done = q.select("id", F.concat(F.lit("tok"), (F.col("id") % 5).cast("string")).alias("claim_token"), F.lit("queued").alias("new_status"))
@@ -647,13 +627,7 @@ def _(spark, d):
     return load(spark, d, "url_ledger").join(gone, "event_id", "left_anti").select("event_id", "line", "canon_key")
 
 
-@query("ups_20_ordered_dedup", EV + f"SELECT event_id, {ONE_URL}[1] AS first FROM disc_events WHERE event_id % 6 = 2")
-def _(spark, d):
-    doubled = F.concat("urls", "urls")
-    return media(load(spark, d, "disc_events")).where("event_id % 6 = 2").select("event_id", F.get(F.array_distinct(doubled), F.lit(0)).alias("first"))
-
-
-@query("ups_20_ordered_dedup_whole")
+@query("ups_20_ordered_dedup")
 def _(spark, d):
     first = F.get(F.array_distinct(F.concat("urls", "urls")), F.lit(0))
     return media(load(spark, d, "disc_events")).select("event_id", first.alias("first"))

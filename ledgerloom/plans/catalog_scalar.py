@@ -204,14 +204,30 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", urls.same_site(F.col("url"), F.lit("https://ir.example.com/")).alias("same"))
 
 
+#: What pages' sites are asked for beside the pages themselves, so that each rule meets both cases.
+IR_ENDS = ("", "/", "/investors/", "/investor-relations/events-and-presentations", "/ir/q1.pdf", "/careers/ir/", "/about", "/Quarterly-results")
+CANDIDATES = (
+    "WITH candidates AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || ["
+    + quoted(IR_ENDS)
+    + f"][page_id % {len(IR_ENDS)} + 1] FROM pages UNION ALL SELECT page_id, 'https://c' || page_id || '.q4web.com/events/' FROM pages)"
+)
+
+
 @query(
     "flt_21_ir_candidates",
-    f"""WITH c AS (SELECT page_id, url, {sql_canon('url')} AS canon FROM pages WHERE NOT regexp_matches({sql_path('url')}, '{java_to_re2(urls.BINARY_ROUTE)}') AND {sql_registrable(sql_netloc('url'))} = 'example.com'),
-  f AS (SELECT canon, min(page_id) AS page_id FROM c GROUP BY canon) SELECT page_id, canon FROM f ORDER BY page_id LIMIT 120""",
+    CANDIDATES
+    + f""", c AS (SELECT page_id, {sql_canon('url')} AS canon FROM candidates WHERE NOT regexp_matches(url, '{java_to_re2(urls.IR_MATERIAL)}') AND NOT regexp_matches(url, '{java_to_re2(urls.NON_IR_PATH)}')
+    AND ({sql_registrable(sql_netloc('url'))} = 'example.com' OR regexp_matches({sql_netloc('url')}, '{java_to_re2(urls.IR_PLATFORM)}')) AND ({sql_path('url')} IN ('', '/') OR regexp_matches({sql_path('url')}, '{java_to_re2(urls.IR_PATH)}')))
+  SELECT min(page_id) AS page_id, canon FROM c GROUP BY canon ORDER BY 1, 2 LIMIT 120""",
 )
 def _(spark, d):
-    c = load(spark, d, "pages").where(~urls.is_binary_route(F.col("url")) & urls.same_site(F.col("url"), F.lit("https://example.com")))
-    return c.groupBy(urls.canon_url(F.col("url")).alias("canon")).agg(F.min("page_id").alias("page_id")).orderBy("page_id").limit(120).select("page_id", "canon")
+    p = load(spark, d, "pages")
+    ends = F.array(*map(F.lit, IR_ENDS))
+    end = F.element_at(ends, (F.col("page_id") % len(IR_ENDS) + 1).cast("int"))
+    platform = F.concat(F.lit("https://c"), F.col("page_id").cast("string"), F.lit(".q4web.com/events/"))
+    every = p.select("page_id", "url").unionByName(p.select("page_id", F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), end).alias("url"))).unionByName(p.select("page_id", platform.alias("url")))
+    c = every.where(urls.is_ir_candidate(F.col("url"), F.lit("https://example.com")))
+    return c.groupBy(urls.canon_url(F.col("url")).alias("canon")).agg(F.min("page_id").alias("page_id")).orderBy("page_id", "canon").limit(120).select("page_id", "canon")
 
 
 @query(
@@ -306,14 +322,29 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.length(F.substring("text", 1, text.token_budget(8192, 4096))).cast("long").alias("n"))
 
 
+#: Titles that fire each rule, or just fail to, beside whole texts and accession numbers.
+ODD_TITLES = (" Home ", "ab", "Investor Relations", "Just a moment...", "Are you a human?", "Slide 12", "投影片3", "Presentation", "Slide deck 12", "Error | page", "Error in the report", "error", "Cloudflare", "Attention Required!", "q1.XLSX", "q1.pdf", "0a1b2c3d-aaaa-bbbb", "Universal Registration Document", "404")
+TITLES = (
+    "WITH titles AS (SELECT doc_id, unnest([0, 1, 2])::BIGINT AS n, unnest([text, lpad(doc_id::VARCHAR, 10, '0') || '-24-' || lpad((doc_id % 1000)::VARCHAR, 6, '0'), ["
+    + quoted(ODD_TITLES)
+    + f"][doc_id % {len(ODD_TITLES)} + 1]]) AS t FROM documents)"
+)
+
+
 @query(
     "txt_15_generic_or_machine_title",
-    f"""SELECT doc_id, lower(trim(left(text, 9))) IN ({quoted(text.GENERIC_TITLES)}) OR contains(lower(left(text, 9)), 'just a moment') OR contains(lower(left(text, 9)), 'are you a human') OR length(trim(left(text, 9))) < 3 AS generic,
-  regexp_matches(lpad(doc_id::VARCHAR, 10, '0') || '-24-' || lpad((doc_id % 1000)::VARCHAR, 6, '0'), '^\\d{{9,10}}-\\d{{2}}-\\d{{6}}$') AS machine FROM documents""",
+    TITLES
+    + f""" SELECT doc_id, n, lower(trim(t)) IN ({quoted(text.GENERIC_TITLES)}) OR contains(lower(t), 'just a moment') OR contains(lower(t), 'are you a human') OR length(trim(t)) < 3 AS generic,
+  regexp_matches(trim(t), '{text.ACCESSION_NUMBER}') OR regexp_matches(trim(t), '{text.HEX_ID}') AS machine,
+  regexp_matches(trim(t), '{text.ACCESSION_NUMBER}') OR regexp_matches(trim(t), '{text.HEX_ID}') OR lower(trim(t)) IN ('error', 'cloudflare') OR regexp_matches(lower(trim(t)), '^error [|-]') OR contains(lower(t), 'attention required') OR contains(lower(t), 'just a moment')
+    OR regexp_matches(lower(trim(t)), '{text.SLIDE_TITLE}') OR regexp_matches(lower(trim(t)), '{text.FILE_TITLE}') AS junk FROM titles""",
 )
 def _(spark, d):
-    accession = F.concat(F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit("-24-"), F.lpad((F.col("doc_id") % 1000).cast("string"), 6, "0"))
-    return load(spark, d, "documents").select("doc_id", text.is_generic_title(F.substring("text", 1, 9)).alias("generic"), text.is_machine_id(accession).alias("machine"))
+    id_ = F.col("doc_id").cast("string")
+    accession = F.concat(F.lpad(id_, 10, "0"), F.lit("-24-"), F.lpad((F.col("doc_id") % 1000).cast("string"), 6, "0"))
+    made = F.element_at(F.array(*map(F.lit, ODD_TITLES)), (F.col("doc_id") % len(ODD_TITLES) + 1).cast("int"))
+    t = load(spark, d, "documents").select("doc_id", F.posexplode(F.array("text", accession, made)).alias("n", "t"))
+    return t.select("doc_id", F.col("n").cast("long").alias("n"), text.is_generic_title(F.col("t")).alias("generic"), text.is_machine_id(F.col("t")).alias("machine"), text.is_junk_title(F.col("t")).alias("junk"))
 
 
 @query("txt_16_title_from_html", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
@@ -363,12 +394,12 @@ def _(spark, d):
 
 @query(
     "txt_24_transcript_like",
-    r"WITH c AS (SELECT conv_id, string_agg('OPERATOR ' || upper(role) || ': ' || left(text, 5), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) SELECT conv_id, len(regexp_extract_all(body, '"
+    r"WITH c AS (SELECT conv_id, string_agg('OPERATOR ' || upper(role) || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id) SELECT conv_id, len(regexp_extract_all(body, '"
     + text.SPEAKER
     + "')) >= 2 AS transcript FROM c",
 )
 def _(spark, d):
-    line = F.concat(F.lit("OPERATOR "), F.upper("role"), F.lit(": "), F.substring("text", 1, 5)).alias("line")
+    line = F.concat(F.lit("OPERATOR "), F.upper("role"), F.lit(": "), "text").alias("line")
     turns = F.array_sort(F.collect_list(F.struct("turn", line)))
     body = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("body"))
     return body.select("conv_id", text.is_transcript_like(F.col("body")).alias("transcript"))
@@ -376,16 +407,6 @@ def _(spark, d):
 
 @query(
     "txt_25_suppress_repeated_blocks",
-    with_tables("segments") + ", t AS (SELECT event_id, string_agg(text, ' ' ORDER BY ord, text) AS said FROM segments GROUP BY event_id) SELECT s.event_id, s.ord, contains(t.said, left(s.text, 200)) AS dropped FROM segments s JOIN t USING (event_id) WHERE s.ord % 2 = 0",
-)
-def _(spark, d):
-    s = load(spark, d, "segments")
-    said = s.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda t: t["text"]), " ").alias("said"))
-    return s.where("ord % 2 = 0").join(said, "event_id").select("event_id", "ord", F.col("said").contains(F.substring("text", 1, 200)).alias("dropped"))
-
-
-@query(
-    "txt_25_suppress_repeated_blocks_whole",
     with_tables("segments") + ", t AS (SELECT event_id, string_agg(text, ' ' ORDER BY ord, text) AS said FROM segments GROUP BY event_id) SELECT s.event_id, s.ord, contains(t.said, left(s.text, 200)) AS dropped FROM segments s JOIN t USING (event_id)",
 )
 def _(spark, d):

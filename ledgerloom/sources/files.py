@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -10,6 +14,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Only a local master may go without that setting: it then gets a temporary folder, removed at exit. A cluster's
+    executors would each write to a disk of their own, so there it is an error.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        root = f"file://{made}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def read_records(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "ev*.json") -> DataFrame:
     """A file per record; other files of the folder, such as a manifest, are left out by the pattern."""
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)

@@ -1,4 +1,4 @@
-"""Queries that read whole tables, on tables larger than the bounds of those that read a part."""
+"""Queries give a row for each row of their whole tables."""
 
 import os
 import re
@@ -32,13 +32,13 @@ def plain(rows):
 
 #: Query, and how many rows (or what sum of its n) the whole table must give; none if the SQL alone tells.
 WHOLE = [
-    ("win_10_column_islands_whole", "sum(n)", "SELECT count(*) FROM lineitem"),
-    ("ctl_08_host_pacing_whole", "count(*)", "SELECT count(*) FROM orders"),
-    ("ups_09_fenced_completion_whole", "count(*)", "SELECT count(*) FROM orders"),
-    ("jon_13_tuple_in_whole", "count(*)", "SELECT count(*) FROM orders WHERE o_orderkey % 7 = o_orderkey % 5"),
+    ("win_10_column_islands", "sum(n)", "SELECT count(*) FROM lineitem"),
+    ("ctl_08_host_pacing", "count(*)", "SELECT count(*) FROM orders"),
+    ("ups_09_fenced_completion", "count(*)", "SELECT count(*) FROM orders"),
+    ("jon_13_tuple_in", "count(*)", "SELECT count(*) FROM orders WHERE o_orderkey % 7 = o_orderkey % 5"),
     ("ctl_07_hill_climb", "count(*)", "SELECT count(DISTINCT user_id) FROM events"),
-    ("txt_25_suppress_repeated_blocks_whole", "count(*)", "SELECT count(*) FROM conversations"),
-    ("src_06_trace_tree_whole", "count(*)", "SELECT count(*) FROM customer"),
+    ("txt_25_suppress_repeated_blocks", "count(*)", "SELECT count(*) FROM conversations"),
+    ("src_06_trace_tree", "count(*)", "SELECT count(*) FROM customer"),
 ]
 
 
@@ -86,12 +86,12 @@ def test_normalised_events_of_every_shape(spark, duck):
         reason = "no_identity" if not own and not ((date or "").strip() and title) else "implausible_date" if read and not 1993 <= int(read[:4]) <= 2025 else None
         kind = kind.strip().lower()
         want[i] = read, kind if kind in ("earnings", "press_release", "webcast") else "other", reason, " ".join(own)
-    out = {r.event_id: (r.event_date, r.event_type, r.drop_reason, r.urls) for r in QUERIES["nrm_01_03_normalise_events_whole"](spark, SF).collect()}
+    out = {r.event_id: (r.event_date, r.event_type, r.drop_reason, r.urls) for r in QUERIES["nrm_01_03_normalise_events"](spark, SF).collect()}
     assert out == want
 
 
 def test_first_address_of_every_event(spark, duck):
-    out = {r.event_id: r["first"] for r in QUERIES["ups_20_ordered_dedup_whole"](spark, SF).collect()}
+    out = {r.event_id: r["first"] for r in QUERIES["ups_20_ordered_dedup"](spark, SF).collect()}
     assert out == {r[0]: r[4].split("|")[0] or None for r in raw_events(duck)}
 
 
@@ -107,5 +107,5 @@ def test_evidence_in_every_body(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for folder in (str(tmp_path), SF):
         texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-        out = {r.doc_id: r.grounded for r in QUERIES["jon_19_evidence_in_body_whole"](spark, folder).collect()}
+        out = {r.doc_id: r.grounded for r in QUERIES["jon_19_evidence_in_body"](spark, folder).collect()}
         assert out == {i: norm((t or "")[39:99]) in norm(t) for i, t in texts.items()}
