@@ -116,21 +116,36 @@ def climb(samples: DataFrame, run: str, order: str, rate: str, start: int = 18,
     """limit per run after its samples: a hill climber on the smoothed rate.
 
     The rate is averaged with weight 0.3; a change within 5 % counts as none, a worse one turns the direction after
-    four in a row; steps are 2; the best rate fades by 2 % a sample.
+    four in a row; steps are 2; the best rate fades by 2 % a sample. Samples without a rate are passed over. A run's
+    samples stream through in order, and what is held of it is the climber's state.
     """
-    state = F.struct(F.lit(None).cast("double").alias("ewma"), F.lit(0.0).alias("best"), F.lit(start).alias("limit"), F.lit(2).alias("step"), F.lit(0).alias("bad"))
-
-    def fold(s, x):
-        ewma = F.when(s["ewma"].isNull(), x).otherwise(0.3 * x + 0.7 * s["ewma"])
-        worse = ewma < s["best"] * 0.95
-        bad = F.when(worse, s["bad"] + 1).otherwise(0)
-        turn = bad >= 4
-        step = F.when(turn, -s["step"]).otherwise(s["step"])
-        moved = F.when((ewma > s["best"] * 1.05) | turn, F.greatest(F.least(s["limit"] + step, F.lit(high)), F.lit(low))).otherwise(s["limit"])
-        return F.struct(ewma.alias("ewma"), F.greatest(s["best"] * 0.98, ewma).alias("best"), moved.alias("limit"), step.alias("step"), F.when(turn, 0).otherwise(bad).alias("bad"))
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rate).cast("double").alias("x")))), lambda s: s["x"])
-    return samples.groupBy(run).agg(F.aggregate(ordered, state, fold)["limit"].alias("limit"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state, begun = None, None, False
+        kind = None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([here], type=kind), pa.array([state[2]], type=pa.int32())], names=[run, "limit"])
+        for b in batches:
+            kind = b.schema.field(0).type
+            for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not begun or r != here:
+                    if begun:
+                        yield row()
+                    here, state, begun = r, (None, 0.0, start, 2, 0), True
+                if x is None:
+                    continue
+                ewma, best, limit, step, bad = state
+                ewma = x if ewma is None else 0.3 * x + 0.7 * ewma
+                bad = bad + 1 if ewma < best * 0.95 else 0
+                turn = bad >= 4
+                step = -step if turn else step
+                if ewma > best * 1.05 or turn:
+                    limit = max(min(limit + step, high), low)
+                state = ewma, max(best * 0.98, ewma), limit, step, 0 if turn else bad
+        if begun:
+            yield row()
+
+    ordered = samples.select(run, F.col(rate).cast("double").alias("rate"), order).repartition(run).sortWithinPartitions(run, order)
+    return ordered.select(run, "rate").mapInArrow(fold, T.StructType([samples.schema[run], T.StructField("limit", T.IntegerType())]))
 
 
 def boost(queue: DataFrame, events: DataFrame, now: Column, most_events: int, limit: int) -> DataFrame:

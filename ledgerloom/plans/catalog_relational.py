@@ -627,7 +627,7 @@ def _(spark, d):
     return load(spark, d, "url_ledger").join(gone, "event_id", "left_anti").select("event_id", "line", "canon_key")
 
 
-@query("ups_20_ordered_dedup")
+@query("ups_20_ordered_dedup", EV + f"SELECT event_id, nullif({ONE_URL}[1], '') AS first FROM disc_events")
 def _(spark, d):
     first = F.get(F.array_distinct(F.concat("urls", "urls")), F.lit(0))
     return media(load(spark, d, "disc_events")).select("event_id", first.alias("first"))

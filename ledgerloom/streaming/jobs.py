@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.sources.files import shared_folder
+
 
 def read_files(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """A stream over Parquet files; the schema is read once from what is there.
@@ -81,12 +83,26 @@ def read_snapshot(spark: SparkSession, snapshot: str, below: int | None = None)
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its rows; for reports and tests, as the memory sink is the driver's."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there and return its rows, from tables in the folder that executors share.
+
+    Each batch is written anew to a place of its own, so one that is delivered twice counts once; in complete mode the
+    last batch is the result.
+    """
+    spark, folder, written = df.sparkSession, shared_folder(df.sparkSession, name), []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = f"{folder}/batch-{batch_id:08d}"
+        batch.write.mode("overwrite").parquet(path)
+        if path not in written:
+            written.append(path)
+
+    q = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return df.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(written[-1:] if mode == "complete" else written))
 
 
 def debounced_alerts(verdicts: DataFrame, at: str, run: int = 3, quiet_s: int = 1800) -> DataFrame:
