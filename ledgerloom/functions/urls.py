@@ -73,12 +73,19 @@ def query(u: Column) -> Column:
     return F.regexp_extract(_with_scheme(u), r"://[^?#]*\?([^#]*)", 1)
 
 
+#: Scheme, host, path and query; the mark that parts them occurs in no address.
+_ADDRESS, _MARK = r"(?s)^([^:]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*$", "\x01"
+
+
 def _parts(u: Column) -> Column:
-    """scheme, netloc, path and query of an address, each read once."""
-    full = _with_scheme(u)
-    return F.struct(
-        F.lower(F.regexp_extract(full, "^([^:]+)://", 1)).alias("scheme"), netloc(u).alias("netloc"), path(u).alias("path"), query(u).alias("query")
-    )
+    """scheme, netloc, path and query of an address, read by one match; all empty if it is none."""
+    cut = F.split(F.regexp_replace(_with_scheme(u), _ADDRESS, _MARK.join(("$1", "$2", "$3", "$4"))), _MARK)
+
+    def named(c: Column) -> Column:
+        part = lambda k: F.when(F.size(c) == 4, F.get(c, F.lit(k))).when(c.isNotNull(), "")
+        return F.struct(F.lower(part(0)).alias("scheme"), F.lower(part(1)).alias("netloc"), part(2).alias("path"), part(3).alias("query"))
+
+    return let(cut, named)
 
 
 def canon_url(u: Column) -> Column:

@@ -10,7 +10,7 @@ from ledgerloom.functions import text, udfs, urls
 from ledgerloom.functions.nested import table_kind
 from ledgerloom.operators import aggregates, blocks, control, graph, readers
 from ledgerloom.plans import normalise
-from ledgerloom.plans.catalog_scalar import EACH_URL, SQL_PERIOD, SQL_UNWRAP, each_url, media, sql_canon
+from ledgerloom.plans.catalog_scalar import EACH_URL, SQL_PERIOD, SQL_UNWRAP, each_url, media
 from ledgerloom.plans.domain import EVENTS_NOW, QUEUE_NOW, load, ts, with_tables
 from ledgerloom.registry import query
 from ledgerloom.sources import files
