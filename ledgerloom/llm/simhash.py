@@ -8,9 +8,9 @@ Pairs at Hamming distance 3 or less are found without comparing all pairs:
 3. Inside a key's group, each fingerprint has a row of Hamming distances to reference fingerprints
    (pivots). By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y), so a pair whose largest coordinate
    difference exceeds 3 is discarded; survivors are verified by XOR and bit count.
-4. A group of more than ``TILE`` fingerprints is passed on as it streams by, and dealt into tiles, each of
-   two salted parts and so of bounded size. Groups and tiles return a spanning forest of their links, never
-   all their pairs.
+4. Groups are counted first (partial sums). One of more than ``TILE`` fingerprints is dealt into tiles, each of
+   two salted parts and so of bounded size, before any of its rows are brought together. Groups and tiles return a
+   spanning forest of their links, never all their pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, saved
+from ledgerloom.llm.common import discard, fresh, row_hash, saved, trimmed
 from ledgerloom.llm.components import components
 
 MAX_BITS = 3
@@ -66,15 +66,20 @@ def _fingerprint_batches(family: int):
         for b in batches:
             fps = np.concatenate([fingerprint(t.as_py(), family) for t in b.column(1)]) if b.num_rows else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, family, dtype=np.int32)), pa.array(fps.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], names=["doc_id", "key", "fps"])
 
     return run
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text (UTF-8; null: empty) and key, the text's hash: (doc_id, key) tells rows apart but for repeated ones."""
+    text = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+
+
 def fingerprints(docs: DataFrame, family: int = 1) -> DataFrame:
-    """(doc_id, fps, fp): one row per document, its fingerprints as signed longs and the first of them."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return plain.mapInArrow(_fingerprint_batches(family), "doc_id long, fps array<long>").withColumn("fp", F.col("fps")[0])
+    """(doc_id, key, fps, fp): one row per document, its fingerprints as signed longs and the first of them."""
+    return plain(docs).mapInArrow(trimmed(_fingerprint_batches(family)), "doc_id long, key long, fps array<long>").withColumn("fp", F.col("fps")[0])
 
 
 def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -126,47 +131,8 @@ def _spanning(key: list[np.ndarray], fp: np.ndarray, node: np.ndarray) -> tuple[
     return node[rows], node[roots]
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, bucket): links of buckets of at most TILE rows, bucket null; and the rows (node, fp, bucket) of larger ones.
-
-    Rows come sorted by bucket. The last bucket of a batch waits for the next one, unless it is too large already.
-    """
-    rest = [np.zeros(0, np.int64)] * 3
-    large: int | None = None
-
-    def out(u: np.ndarray, v: np.ndarray, bucket: np.ndarray | None) -> pa.RecordBatch:
-        last = pa.nulls(len(u), pa.int64()) if bucket is None else pa.array(bucket)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), last], names=["u", "v", "bucket"])
-
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, fp, node = cols
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        size = np.diff(np.r_[starts, len(bucket)])
-        over = np.repeat(size > TILE, size) | (bucket == large if large is not None else np.zeros(len(bucket), bool))
-        if over.any():
-            yield out(node[over], fp[over], bucket[over])
-        small = ~over & np.repeat(size > 1, size)
-        if small.any():
-            yield out(*_spanning([bucket[small]], fp[small], node[small]), None)
-
-    for b in batches:
-        cols = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for c, r in enumerate(rest)]
-        if not len(cols[0]):
-            continue
-        start = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        if start:
-            yield from emit([c[:start] for c in cols])
-        rest = [c[start:] for c in cols]
-        if len(rest[0]) > TILE or rest[0][0] == large:
-            large = int(rest[0][0])
-            yield out(rest[2], rest[1], rest[0])
-            rest = [c[:0] for c in rest]
-    if len(rest[0]):
-        yield from emit(rest)
-
-
 def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each (bucket, tile); rows come sorted by them, and a tile that a batch cuts off waits for the next one."""
+    """Links (u, v) within each (bucket, tile); rows come sorted by them, and a tile that a batch cuts off waits for the next one."""
     rest = [np.zeros(0, np.int64)] * 4
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -196,22 +162,68 @@ def _bucket_keys(seed, fp) -> F.Column:
     return F.array(*[table(k) + F.shiftleft(blocks[a], 20) + blocks[b] for k, (a, b) in enumerate(pairs)])
 
 
+def tiled(rows: DataFrame, parts: DataFrame, node: str) -> DataFrame:
+    """``rows`` with a tile of their bucket each; ``parts`` has bucket and parts of the buckets that are dealt into more than one.
+
+    A row goes to the tiles of its part with each part, so any two rows of a bucket meet in a tile; buckets without
+    parts are one tile. ``parts`` is a saved table, so a hot bucket's rows are split among tasks while they are joined.
+    """
+    if not parts.limit(1).count():
+        return rows.withColumn("tile", F.lit(0).cast("long"))
+    columns = rows.columns
+    rows = rows.join(parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64({node}), parts) as int)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    return rows.select(*columns, F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile"))
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """(u, v): links that span each set of nodes joined by steps of MAX_BITS or fewer in one of their fingerprints.
+    """(u, v): links that span each set of nodes joined by steps of MAX_BITS or fewer in one of their fingerprints; a saved table.
 
     Input: fp, the node, and fps, its fingerprints; distinct rows.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = nodes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
+    each = saved(nodes.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct(), "nodes")
     dealt = each.select(F.explode(_bucket_keys(F.col("seed"), F.col("fp"))).alias("bucket"), "fp", "node")
-    first = saved(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link_batches, "u long, v long, bucket long"), "links")
-    large = first.where("bucket is not null").select("bucket", F.col("v").alias("fp"), F.col("u").alias("node"))
-    parts = large.groupBy("bucket").agg(F.ceil(F.count("*") / (TILE // 2)).cast("int").alias("parts"))
-    salted = large.join(parts, "bucket").withColumn("salt", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    tile = F.expr("cast(least(salt, other) as long) * 4294967296 + greatest(salt, other)").alias("tile")
-    tiled = salted.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", tile, "fp", "node")
-    tiles = tiled.repartition(n, "bucket", "tile").sortWithinPartitions("bucket", "tile").mapInArrow(_tile_batches, "u long, v long")
-    return first.where("bucket is null").select("u", "v").unionByName(tiles)
+    large = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    parts = saved(large.select("bucket", F.ceil(F.col("n") / (TILE // 2)).cast("int").alias("parts")), "large-buckets")
+    tiles = by_tile(tiled(dealt, parts, "node").select("bucket", "tile", "fp", "node"))
+    out = saved(tiles.mapInArrow(trimmed(_tile_batches), "u long, v long"), "links")
+    discard(each, parts)
+    return out
+
+
+def representatives(rows: DataFrame, node: str) -> DataFrame:
+    """``node`` and first, the least (none, doc_id, key) of its documents, null ids last; a saved table."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    return saved(rows.groupBy(node).agg(first), "representatives")
+
+
+def settled(reps: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``node``, first and least, the least ``first`` of its component; ``roots`` are those of ``components``. A saved table.
+
+    All this is done with a row per node. Documents join it once, in the order they were read, so the many documents
+    of one node come from many tasks and can be split among others.
+    """
+    each = saved(reps.join(roots.withColumnRenamed("node", node).hint("merge"), node, "left").select(node, F.coalesce("root", node).alias("root"), "first"), "rooted")
+    least = saved(each.groupBy("root").agg(F.min("first").alias("least")), "least-of-root")
+    out = saved(each.join(least.hint("merge"), "root").select(node, "first", "least"), "settled")
+    discard(each, least)
+    return out
+
+
+def clusters(docs: DataFrame, family: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of the documents, and what ``settled`` says of them; saved tables."""
+    fps = saved(fingerprints(docs, family), "fingerprints")
+    linked = links(fps.select("fp", "fps").distinct())
+    stars = components(linked)
+    reps = representatives(fps, "fp")
+    out = settled(reps, stars, "fp")
+    discard(linked, stars, reps)
+    return fps, out
 
 
 def simhash_components(docs: DataFrame, family: int = 1) -> DataFrame:
@@ -224,33 +236,37 @@ def simhash_components(docs: DataFrame, family: int = 1) -> DataFrame:
     has a component too, whose id is the least non-null doc_id in it, or null if there is none. Repeated
     rows each return a row. Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
-    fps = saved(fingerprints(docs, family), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    stars = components(links(fps.select("fp", "fps").distinct()))
-    member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
-    of_linked = member.join(reps, "fp")
-    least = of_linked.groupBy("root").agg(F.min("rep").alias("least"))
-    found = of_linked.join(least, "root").select("fp", "least")
-    named = reps.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, nodes = clusters(docs, family)
+    named = fps.join(nodes.select("fp", F.col("least.doc_id").alias("component_id")).hint("merge"), "fp")
+    out = saved(named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "components")
+    discard(fps, nodes)
+    return out
 
 
 def one_of_each(docs: DataFrame, family: int = 8) -> DataFrame:
-    """The rows of ``docs`` that stay when each component of ``simhash_components`` keeps its least doc_id; all columns."""
-    return keep_least(docs, simhash_components(docs, family))
+    """The rows of ``docs`` that stay when each component of ``simhash_components`` keeps one document (see ``keep_least``)."""
+    fps, nodes = clusters(docs, family)
+    out = keep_least(docs, nodes, fps)
+    discard(fps, nodes)
+    return out
 
 
-def keep_least(docs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the component_id that ``comps`` (doc_id, component_id) gives it; all columns.
+def keep_least(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``nodes`` (see ``settled``): that of the least doc_id, null last, and of
+    the least text hash among its rows; all columns. ``rows`` has the doc_id and key of each document.
 
-    Of rows that repeat that doc_id one stays (its least text); a component without any doc_id keeps nothing
-    to go by, so its rows all stay.
+    Wholly repeated rows count once. Null and empty texts are texts like any other here, and rows without an id a
+    document each. No column name of ``docs`` clashes; an empty table gives an empty one.
     """
-    kept = saved(comps.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    stay = docs.join(kept.hint("merge"), "doc_id")  # one plan at every size
-    if kept.where("copies > 1").limit(1).count():
-        first = stay.where("copies > 1").groupBy("doc_id").agg(F.struct(*[F.min_by(F.col(c), F.struct(F.col("text"), F.struct(*[F.col(o) for o in docs.columns]))).alias(c) for c in docs.columns]).alias("row"))
-        stay = stay.where("copies = 1").select(*docs.columns).unionByName(first.select("row.*").select(*docs.columns))
-    nameless = comps.where("component_id is null").limit(1).count()
-    stay = stay.select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id is null")) if nameless else stay
+    doc, key, again, row = fresh(docs, "kept_id", "kept_key", "again", "row")
+    kept = nodes.where(F.col("first") == F.col("least")).select(F.col("first.doc_id").alias(doc), F.col("first.key").alias(key))
+    several = rows.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").withColumn(again, F.lit(True))
+    kept = kept.join(several, F.col(doc).eqNullSafe(F.col("d")) & (F.col(key) == F.col("k")), "left")
+    kept = saved(kept.select(doc, key, F.coalesce(again, F.lit(False)).alias(again)), "kept")
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")))
+    stay = docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (own == F.col(key)))  # one plan at every size
+    if not kept.where(again).limit(1).count():
+        return stay.select(*docs.columns)
+    least_row = F.min_by(F.struct(*docs.columns), row_hash(docs)).alias(row)
+    one = stay.where(F.col(again)).groupBy(doc, key).agg(least_row).select(f"{row}.*")
+    return stay.where(~F.col(again)).select(*docs.columns).unionByName(one)
