@@ -74,3 +74,49 @@ def test_bands_find_pairs_at_the_threshold():
         assert near_copies.near(a, b) and not near_copies.near(a, np.setdiff1d(b, h[:1]))
         found += bool((near_copies.bands(a) == near_copies.bands(b)).any())
     assert found >= 1990
+
+
+def test_tiles_join_what_all_pairs_join(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets_ = []
+    for k in range(90):
+        own = rng.permutation(base)[: 60 - int(rng.integers(0, 14))]
+        sets_.append(np.unique(np.r_[own, rng.integers(0, 1 << 63, int(rng.integers(0, 5)), dtype=np.uint64)]) if k % 9 else rng.integers(0, 1 << 63, 5, dtype=np.uint64))
+        sets_[-1].sort()
+    sets_.append(np.zeros(0, np.uint64))
+    roots = np.array([k if k % 4 else 1000 for k in range(len(sets_))])
+    want = {frozenset((i, j)) for i in range(len(sets_)) for j in range(i) if near_copies.near(sets_[i], sets_[j])}
+    i, j = near_copies._near_pairs(sets_)
+    assert {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(want) > 50
+    monkeypatch.setattr(near_copies, "COLUMNS", 7)
+    assert {frozenset(p) for p in zip(*(x.tolist() for x in near_copies._near_pairs(sets_)), strict=True)} == want
+
+    def classes(pairs):
+        root = {int(r): int(r) for r in roots}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {r: find(r) for r in root}
+
+    expected = classes([(int(roots[a]), int(roots[b])) for a, b in map(tuple, want)])
+    for few in (0, 1000):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        u, v = near_copies.joined_roots(roots, sets_)
+        assert classes(zip(u.tolist(), v.tolist(), strict=True)) == expected and len(u) < len(sets_)
+
+
+def test_a_common_passage_links_no_documents(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE", 16)
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(80))
+    given = [" ".join(f"w{rng.randrange(9000)}" for _ in range(30)) + f" {passage} x{k}" for k in range(90)]
+    given += [given[3] + " more", given[70] + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(given)], DOCS)
+    out = {r.doc_id: r.component_id for r in near_copies.near_components(docs).collect()}
+    assert out == dict(enumerate(least_ids([sets(t) for t in given])))
