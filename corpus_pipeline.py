@@ -1,7 +1,8 @@
 """Five stages that turn ``documents`` into a training mix; each is written as Parquet and reread as the next one's input.
 
 1. toxicity: documents that the classifier rejects go.
-2. near_dedup: one document of each group of near copies stays, that of the least doc_id.
+2. near_dedup: one document of each group of near copies stays, that of the least doc_id. Links of the SimHash operator
+   and what they miss are checked for a similarity of 0.8 on five-word shingles.
 3. decontaminate: documents into which a benchmark item leaks go.
 4. secrets: secrets within texts are masked; the documents stay.
 5. mix: sources are brought to their target shares; ``taken`` says how many words of a document are used.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, mixing, near_copies, secrets, toxicity
-from ledgerloom.llm.common import saved, table
+from ledgerloom.llm.common import discard, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +44,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
