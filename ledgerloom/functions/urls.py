@@ -25,7 +25,8 @@ NON_EVENT = r"(?i)\.(xml|rss|atom|css|js|png|jpe?g|gif|svg|ico|woff2?)(\?|#|$)|/
 ASSET = r"(?i)\.(xml|rss|atom|css|js|png|jpe?g|gif|svg|ico|woff2?)(\?|#|$)|/(rss|feeds?|atom|sitemap)(/|\.|\?|#|$)"
 TRACKER = r"(?i)/Tracker\?|/track(er)?/[^/]*\?|//(link|click|ct|email|e|mailer)\.[^/]+/|/(redirect|goto|linkclick)\.(aspx|php|jsp)|doubleclick\.net|/pagead/"
 FILINGS = r"(?i)/(sec-filings|edgar|financials/(sec|quarterly|annual|financial-results)|regulatory)"
-BINARY_ROUTE = r"(?i)\.(pdf|pptx?|docx?|xlsx?|csv|zip|rar|7z|gz|tgz|mp3|wav|m4a|aac|mp4|mov|avi|mkv|webm|ics|vcs|epub)(\?|#|$)|/(static-files|content/dam|files/doc_financials|files/doc_downloads)/"
+BINARY_ROUTE = r"(?i)\.(pdf|pptx?|docx?|xlsx?|csv|zip|rar|7z|gz|tgz|mp3|wav|m4a|aac|mp4|mov|avi|mkv|webm|ics|vcs|epub)(\?|#|$)"
+DOCUMENT_PATH = r"(?i)/(static-files|content/dam|files/doc_financials|files/doc_downloads)/"
 EVENTS_HUB = r"(?i)/(events?|events-and-presentations|events-calendar|ir-calendar|calendar|webcasts?|presentations?|news-and-events|upcoming-events?|investor-events?)(/|\?|#|$|-|\.)"
 IR_PATH = r"(?i)/(ir|investor|investors|investor-relations|events?|presentations?|calendar|webcasts?|financial|financials|results|earnings|news-and-events|news-events|shareholders?|stock|reports?|library|quarterly|annual|disclosure|ri|relacoes|relations)(/|\?|#|$|-|_|\.)"
 NON_IR_PATH = r"(?i)/(careers?|jobs|legal|privacy|terms|cookie|sitemap|support|help|contact|store|shop|products?|solutions?|blog|login|signin|account|cart|search)(/|\?|#|$|-)"
@@ -116,7 +117,7 @@ def is_noise_route(u: Column) -> Column:
 
 
 def is_binary_route(u: Column) -> Column:
-    return path(u).rlike(BINARY_ROUTE)
+    return let(path(u), lambda p: p.rlike(BINARY_ROUTE) | p.rlike(DOCUMENT_PATH))
 
 
 def boosted_score(u: Column, score: Column) -> Column:

@@ -194,7 +194,7 @@ def _(spark, d):
     return load(spark, d, "pages").select("page_id", "url", urls.is_noise_route(F.col("url")).alias("noise"))
 
 
-@query("flt_19_binary_route", UL + f"SELECT event_id, line, canon_key, url FROM url_ledger WHERE regexp_matches({sql_path('url')}, '{java_to_re2(urls.BINARY_ROUTE)}')")
+@query("flt_19_binary_route", UL + f"SELECT event_id, line, canon_key, url FROM url_ledger WHERE regexp_matches({sql_path('url')}, '{java_to_re2(urls.BINARY_ROUTE)}') OR regexp_matches({sql_path('url')}, '{java_to_re2(urls.DOCUMENT_PATH)}')")
 def _(spark, d):
     return load(spark, d, "url_ledger").where(urls.is_binary_route(F.col("url"))).select("event_id", "line", "canon_key", "url")
 
