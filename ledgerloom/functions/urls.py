@@ -172,6 +172,14 @@ def classify_content_type(c: Column, fallback: str = "html") -> Column:
     return out
 
 
+def magic_kind(reason: Column) -> Column:
+    """The kind that a sniffer's reason for refusing text names: a PDF's mark, or the part folder of an office package."""
+    out = F.lit("other")
+    for mark, kind in (("ppt/", "pptx"), ("word/", "docx"), ("xl/", "xlsx"), ("%PDF", "pdf")):
+        out = F.when(reason.contains(mark), kind).otherwise(out)
+    return out
+
+
 def is_opaque_download(u: Column) -> Column:
     return path(u).rlike(OPAQUE_DOWNLOAD)
 

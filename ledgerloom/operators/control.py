@@ -12,11 +12,24 @@ from pyspark.sql import types as T
 
 #: Capacity profiles: pages and model calls an hour, and the shortest period in seconds.
 PROFILES = {"small": (1728.0, 250.0, 1800.0), "medium": (7000.0, 250.0, 1800.0), "large": (14000.0, 250.0, 1800.0)}
+PROFILE_COLUMNS = ("render_pph", "vlm_cph", "floor_s")
 WEEK_H = 168.0
 FULL_SHARE = 0.5
 SLOT_UTILISATION = 0.828
 
 
+def profiles(overrides: DataFrame, probed: DataFrame) -> DataFrame:
+    """profile and its capacities: what is configured, or an override's value; a probe's ceiling below that counts instead.
+
+    Both tables have profile and the capacities, null where they say nothing; of several rows the least value counts.
+    """
+    spark = overrides.sparkSession
+    out = spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, " + ", ".join(f"{c} double" for c in PROFILE_COLUMNS))
+    for table, name in ((overrides, "_o"), (probed, "_p")):
+        out = out.join(table.groupBy("profile").agg(*[F.min(c).alias(f"{name}_{c}") for c in PROFILE_COLUMNS]), "profile", "left")
+    return out.select("profile", *[F.least(F.coalesce(f"_o_{c}", c), f"_p_{c}").alias(c) for c in PROFILE_COLUMNS])
+
+
 def solve(demand: DataFrame, harmonic: bool = False) -> DataFrame:
     """The shortest period that all resources allow, per row of demand.
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, udfs, urls
 from ledgerloom.functions.nested import table_kind
 from ledgerloom.operators import aggregates, blocks, control, graph, readers
 from ledgerloom.plans import normalise
-from ledgerloom.plans.catalog_scalar import EACH_URL, SQL_PERIOD, SQL_UNWRAP, each_url, media
+from ledgerloom.plans.catalog_scalar import EACH_URL, SQL_PERIOD, SQL_UNWRAP, each_url, media, picked, sql_picked
 from ledgerloom.plans.domain import EVENTS_NOW, QUEUE_NOW, load, ts, with_tables
 from ledgerloom.registry import query
 from ledgerloom.sources import files
@@ -165,10 +167,15 @@ def _(spark, d):
     return b.select("page_id", "b.ord", "b.type", F.md5("b.md").alias("md_md5"), F.array_join("b.headers", "|").alias("headers"), F.size("b.rows").alias("n_rows"))
 
 
-@query("src_15_magic_bytes", "SELECT c_custkey, (['pdf', 'html', 'xlsx', 'docx', 'guess'])[(c_custkey % 5 + 1)::INT] AS fmt FROM customer")
+HEADS = (
+    (b"%PDF-1.7", "pdf"), (b" <!DOCTYPE html>", "html"), (b"\n<HTML lang=x>", "html"), (b"PK\x03\x04aaxl/w", "xlsx"), (b"PK\x03\x04aaword/", "docx"), (b"PK\x03\x04bbppt/", "pptx"), (b"PK\x03\x04nothing", "guess"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1..", "ole"),
+    (b"plain <html>", "guess"), (b"", "guess"), (b"%PD", "guess"),
+)
+
+
+@query("src_15_magic_bytes", f"SELECT c_custkey, {sql_picked([k for _, k in HEADS], 'c_custkey')} AS fmt FROM customer")
 def _(spark, d):
-    raw = F.element_at(F.array(F.lit(b"%PDF-1.7"), F.lit(b" <!DOCTYPE html>"), F.lit(b"PK\x03\x04aaxl/w"), F.lit(b"PK\x03\x04aaword/"), F.lit(b"plain")), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return load(spark, d, "customer").select("c_custkey", files.sniffed_format(raw, F.lit("guess")).alias("fmt"))
+    return load(spark, d, "customer").select("c_custkey", files.sniffed_format(picked([h for h, _ in HEADS], "c_custkey"), F.lit("guess")).alias("fmt"))
 
 
 @query("src_17_batch_upsert", EV + "SELECT company_id, run_id, min(event_id) AS event_id, count(DISTINCT nullif(source_url, '')) AS sources FROM disc_events GROUP BY 1, 2")
@@ -229,10 +236,33 @@ def _(spark, d):
     return aggregates.activity_feed(media(load(spark, d, "disc_events")), load(spark, d, "companies"), ts(EVENTS_NOW), "1 DAY", 50)
 
 
-@query("txt_21_verdict_reason", "SELECT 'down' AS verdict, 'no scan for ever min' AS reason")
+#: Fleets: a scan (minutes ago, calls, errors, failed pages, pages) or none, an event (minutes ago) or none, queue units
+#: (status, minutes since the lease lapsed or the unit changed), and what is said of them. Each meets one condition first.
+FLEETS = (
+    (None, None, (), "down", "no scan for ever min"),
+    ((10, 5, 2, 0, 9), None, (), "down", "no events from 5 calls in 30 min (2 errors, 1 scans)"),
+    ((61, 9, 9, 0, 9), None, (), "down", "no scan for 61.0 min"),
+    ((10, 5, 3, 0, 9), 5, (("running", 7),), "degraded", "3 extraction errors, events still arrive"),
+    ((10, 5, 0, 0, 9), 5, (("running", 7), ("failed", 5)), "degraded", "1 leases are stuck"),
+    ((10, 5, 0, 0, 9), 5, (("running", 5), ("failed", 5), ("failed", 500)), "degraded", "1 units newly failed of 2"),
+    ((10, 4, 0, 30, 100), None, (("failed", 500),), "degraded", "30 of 100 pages fail to render"),
+    ((10, 4, 0, 19, 20), 40, (), "ok", "0 events from 1 scans"),
+    ((10, 5, 0, 20, 100), 29, (), "ok", "1 events from 1 scans"),
+)
+
+
+@query("txt_21_verdict_reason", " UNION ALL ".join(f"SELECT {k} AS fleet, '{v}' AS verdict, '{r}' AS reason" for k, (*_, v, r) in enumerate(FLEETS)))
 def _(spark, d):
-    nothing = load(spark, d, "scan_log").where("false"), load(spark, d, "disc_events").where("false"), load(spark, d, "work_queue").where("false")
-    return aggregates.fleet_health(*nothing, ts(EVENTS_NOW), ts(QUEUE_NOW)).select("verdict", "reason")
+    ago = lambda anchor, m: f"TIMESTAMP_NTZ '{anchor}' - INTERVAL {m} MINUTES"
+    table = lambda rows, empty: spark.sql(" UNION ALL ".join(rows or [f"SELECT * FROM ({empty}) WHERE false"]))
+    scan = lambda m, *n: f"SELECT {ago(EVENTS_NOW, m)} AS ts, " + ", ".join(f"{x} AS {c}" for x, c in zip(n, ("vlm_calls", "extract_errors", "failed_render", "render_pages"), strict=True))
+    event = lambda m: f"SELECT {ago(EVENTS_NOW, m)} AS created_at"
+    unit = lambda status, m: f"SELECT '{status}' AS status, {ago(QUEUE_NOW, m)} AS lease_until, {ago(QUEUE_NOW, m)} AS updated_at"
+    out = []
+    for k, (s, e, q, *_) in enumerate(FLEETS):
+        tables = table([scan(*s)] if s else [], scan(0, 0, 0, 0, 0)), table([event(e)] if e else [], event(0)), table([unit(*u) for u in q], unit("", 0))
+        out.append(aggregates.fleet_health(*tables, ts(EVENTS_NOW), ts(QUEUE_NOW)).select(F.lit(k).alias("fleet"), "verdict", "reason"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("jon_14_update_from", WQ + "SELECT id, CASE WHEN r.rk IS NULL THEN priority ELSE r.rk END AS priority FROM work_queue LEFT JOIN (SELECT id, row_number() OVER (ORDER BY due_at, id) AS rk FROM work_queue WHERE status = 'queued' AND type = 'full') r USING (id)")
@@ -314,9 +344,16 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(udfs.split_text_udf("text", F.lit(2000), F.lit(100))).alias("block", "text"))
 
 
-@query("txt_14_clean_title", "SELECT p_partkey, p_name || ' & co' AS t FROM part")
+#: Titles with {} for a part's name, and what is left of them.
+TITLE_FORMS = (
+    ("Microsoft Word -  {} &amp;  co.docx", "{} & co"), ("MICROSOFT POWERPOINT - {}.pptx", "{}"), ("{}.PDF", "{}"), (" {}\t results ", "{} results"), ("{} - Microsoft Word", "{} - Microsoft Word"), ("{}.pdf.xlsx", "{}.pdf"),
+    ("Microsoft Excel - {}", "{}"), ("{} &lt;b&gt;", "{} <b>"), (".docx", ""), ("{}.zip", "{}.zip"),
+)
+
+
+@query("txt_14_clean_title", f"SELECT p_partkey, replace({sql_picked([w for _, w in TITLE_FORMS], 'p_partkey')}, '{{}}', p_name) AS t FROM part")
 def _(spark, d):
-    return load(spark, d, "part").select("p_partkey", udfs.clean_title_udf(F.concat(F.lit("Microsoft Word -  "), "p_name", F.lit(" &amp;  co.docx"))).alias("t"))
+    return load(spark, d, "part").select("p_partkey", udfs.clean_title_udf(F.replace(picked([f for f, _ in TITLE_FORMS], "p_partkey"), F.lit("{}"), F.col("p_name"))).alias("t"))
 
 
 @query("txt_17_decode", "SELECT doc_id, md5(text) AS h FROM documents")
@@ -599,9 +636,11 @@ def _(spark, d):
     return m.crossJoin(u).select("n_hub", "n_full", control.backlog_eta(F.col("n_full") * F.col("fc"), F.col("c_v")).alias("eta_h"))
 
 
-@query("ctl_04_profiles", "SELECT unnest(['small', 'medium', 'large']) AS profile, unnest([1728.0, 7000.0, 14000.0])::DOUBLE AS render_pph")
+@query("ctl_04_profiles", "SELECT unnest(['small', 'medium', 'large']) AS profile, unnest([1728.0, 6500.0, 14000.0])::DOUBLE AS render_pph, unnest([200.0, 250.0, 250.0])::DOUBLE AS vlm_cph, unnest([1800.0, 1800.0, 900.0])::DOUBLE AS floor_s")
 def _(spark, d):
-    return spark.createDataFrame([(k, v[0]) for k, v in control.PROFILES.items()], "profile string, render_pph double")
+    # An override that counts, one that a probe's ceiling is below, a ceiling above what is configured, an unknown profile.
+    table = lambda *rows: spark.createDataFrame(list(rows), "profile string, render_pph double, vlm_cph double, floor_s double")
+    return control.profiles(table(("large", None, None, 900.0), ("medium", 9000.0, None, None), ("other", 1.0, 1.0, 1.0)), table(("medium", 6500.0, None, None), ("small", 99999.0, 200.0, None)))
 
 
 @query("ctl_05_06_fair_admission", "SELECT n_nationkey AS tenant, greatest(floor(64 * (n_nationkey % 4 + 1) / sum(n_nationkey % 4 + 1) OVER ()), 1)::BIGINT AS cap, n_nationkey * 100 > 1000 OR n_nationkey * 100 / (2.0 * 0.5) > 120 AS sheds FROM nation")
@@ -635,10 +674,15 @@ def _(spark, d):
     return control.paced_starts(r, "host", "at_s", 1.5).select("id", "start_s")
 
 
-@query("ctl_09_public_hosts", "SELECT c_custkey, c_custkey % 4 = 0 AS public FROM customer")
+HOSTS = (
+    ("ir.example.com", True), ("127.0.0.1:80", False), ("172.20.1.1", False), ("LOCALHOST", False), ("172.32.0.1", True), ("10.0.0.1", False), ("100.0.0.1", True), ("169.254.169.254", False), ("192.168.1.1:8080", False), ("192.169.1.1", True), ("printer.local", False),
+    ("db.internal", False), ("internal.example.com", True), ("[::1]", False), ("[fe80::1]", False), ("[fd00::1]", False), ("0.0.0.0", False), ("", False), (None, False), ("8.8.8.8", True),
+)
+
+
+@query("ctl_09_public_hosts", f"SELECT c_custkey, {sql_picked([ok for _, ok in HOSTS], 'c_custkey')} AS public FROM customer")
 def _(spark, d):
-    hosts = F.element_at(F.array(*map(F.lit, ("ir.example.com", "127.0.0.1:80", "172.20.1.1", "LOCALHOST"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return load(spark, d, "customer").select("c_custkey", urls.is_public_host(hosts).alias("public"))
+    return load(spark, d, "customer").select("c_custkey", urls.is_public_host(picked([h for h, _ in HOSTS], "c_custkey")).alias("public"))
 
 
 @query("ctl_12_capacity_gate", "SELECT event_id, event_id % 100 <= 85 AND value <= 200 AS ok FROM events")

@@ -17,6 +17,16 @@ def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def picked(values, key: str) -> F.Column:
+    """The value whose turn it is by a key, so that rows go through all of them."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def sql_picked(values, key: str) -> str:
+    listed = ", ".join("NULL" if v is None else str(v) if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{listed}])[({key} % {len(values)} + 1)::INT]"
+
+
 def sql_scheme(u: str) -> str:
     return f"(CASE WHEN starts_with(lower({u}), 'http') THEN {u} ELSE 'https://' || {u} END)"
 
@@ -524,10 +534,16 @@ def _(spark, d):
     return load(spark, d, "url_ledger").select("event_id", "line", "canon_key", fmt.alias("fmt"))
 
 
-@query("url_12_video_id", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE lpad(o_orderkey::VARCHAR, 11, 'a') END AS v FROM orders")
+#: Forms of video addresses, and whether the 11 characters in them are an id.
+VIDEO_FORMS = (
+    ("https://www.youtube.com/watch?t=1&v={}", True), ("https://youtu.be/{}", True), ("https://vimeo.com/{}", False), ("https://m.youtube.com/embed/{}", True), ("https://youtube.com/shorts/{}?a=b", True), ("https://www.youtube.com/live/{}#t", True),
+    ("https://www.youtube-nocookie.com/v/{}", True), ("https://youtu.be/{}xx", False), ("https://youtube.com.evil.example/watch?v={}", False), ("https://www.youtube.com/channel/{}", False), ("https://music.youtube.com/watch?v={}", True), ("https://youtu.be/{}/", True),
+)
+
+
+@query("url_12_video_id", f"SELECT o_orderkey, CASE WHEN {sql_picked([ok for _, ok in VIDEO_FORMS], 'o_orderkey')} THEN lpad(o_orderkey::VARCHAR, 11, 'a') ELSE '' END AS v FROM orders")
 def _(spark, d):
-    key = F.lpad(F.col("o_orderkey").cast("string"), 11, "a")
-    u = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?t=1&v="), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("https://youtu.be/"), key)).otherwise(F.concat(F.lit("https://vimeo.com/"), key))
+    u = F.replace(picked([f for f, _ in VIDEO_FORMS], "o_orderkey"), F.lit("{}"), F.lpad(F.col("o_orderkey").cast("string"), 11, "a"))
     return load(spark, d, "orders").select("o_orderkey", urls.video_id(u).alias("v"))
 
 
@@ -536,11 +552,12 @@ def _(spark, d):
     return media(load(spark, d, "disc_events")).select("event_id", urls.primary_url(F.col("urls")).alias("u"))
 
 
-@query("url_14_magic_kind", "SELECT o_orderkey, (['pdf', 'xlsx', 'docx', 'other'])[(o_orderkey % 4 + 1)::INT] AS k FROM orders")
+MAGIC_REASONS = (("binary: %PDF-1.7", "pdf"), ("zip with xl/", "xlsx"), ("zip with word/", "docx"), ("zip with ppt/", "pptx"), ("noise", "other"), ("", "other"), (None, "other"))
+
+
+@query("url_14_magic_kind", f"SELECT o_orderkey, {sql_picked([k for _, k in MAGIC_REASONS], 'o_orderkey')} AS k FROM orders")
 def _(spark, d):
-    reason = F.element_at(F.array(*map(F.lit, ("binary: %PDF-1.7", "zip with xl/", "zip with word/", "noise"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    kind = F.when(reason.contains("%PDF"), "pdf").when(reason.contains("xl/"), "xlsx").when(reason.contains("word/"), "docx").when(reason.contains("ppt/"), "pptx").otherwise("other")
-    return load(spark, d, "orders").select("o_orderkey", kind.alias("k"))
+    return load(spark, d, "orders").select("o_orderkey", urls.magic_kind(picked([r for r, _ in MAGIC_REASONS], "o_orderkey")).alias("k"))
 
 
 @query("url_15_event_file_id", f"SELECT page_id, left(replace({sql_canon('url')}, '/', '-'), 120) AS i FROM pages")

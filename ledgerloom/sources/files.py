@@ -72,7 +72,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def sniffed_format(content: Column, guess: Column) -> Column:
     """pdf, office (a zip package), legacy office, html or the guess, from the first bytes."""
     head = F.substring(content, 1, 8)
-    text = F.lower(F.ltrim(F.substring(content, 1, 256).cast("string")))
+    text = F.lower(F.regexp_replace(F.substring(content, 1, 256).cast("string"), r"^\s+", ""))
     return (
         F.when(F.substring(head, 1, 4) == F.lit(b"%PDF"), "pdf")
         .when((F.substring(head, 1, 4) == F.lit(b"PK\x03\x04")) & F.contains(F.substring(content, 1, 4096), F.lit(b"xl/")), "xlsx")
