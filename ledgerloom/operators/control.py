@@ -125,6 +125,11 @@ def accepted(requests: DataFrame, key: str, at_s: str, most: int, span_s: float)
     return ordered.mapInArrow(fold, T.StructType([*requests.schema.fields, T.StructField("ok", T.BooleanType())]))
 
 
+def cache_hits(requests: DataFrame, key: str, at_s: str, ttl_s: float) -> DataFrame:
+    """hit: whether a response cache answers a request; an answer is computed anew once it is ``ttl_s`` old, and its age counts from then."""
+    return accepted(requests, key, at_s, 1, ttl_s).withColumn("hit", ~F.col("ok")).drop("ok")
+
+
 def climb(samples: DataFrame, run: str, order: str, rate: str, start: int = 18, low: int = 4, high: int = 64) -> DataFrame:
     """limit per run after its samples: a hill climber on the smoothed rate.
 

@@ -61,6 +61,20 @@ def fenced(snapshot: DataFrame, completions: DataFrame, key: str, token: str, ch
     return out.withColumns({old: F.coalesce(F.col(new), F.col(old)) for old, new in changes.items()}).select(*snapshot.columns)
 
 
+def renew(snapshot: DataFrame, beats: DataFrame, key: str, token: str, at: str, lease_s: int, live: str) -> tuple[DataFrame, DataFrame]:
+    """The snapshot with the leases of a batch of heartbeats (key, token, at) renewed, and the claims that are lost.
+
+    A beat renews its row if the row is live and the token is still its own; a lease never gets shorter. A claim whose
+    beat finds no such row is another's by now, so its work is to be given up.
+    """
+    last = beats.groupBy(key, token).agg(F.max(at).alias("_at"))
+    held = (F.col("status") == live) & F.col("_at").isNotNull()
+    until = F.col("_at") + F.make_dt_interval(secs=F.lit(lease_s))
+    out = snapshot.join(last, [key, token], "left").withColumn("lease_until", F.when(held, F.greatest("lease_until", until)).otherwise(F.col("lease_until")))
+    lost = last.select(key, token).join(snapshot.where(F.col("status") == live).select(key, token), [key, token], "left_anti")
+    return out.select(*snapshot.columns), lost
+
+
 def backoff(df: DataFrame, key: str, most: int = 3, base_s: float = 30.0, jitter_s: float = 10.0) -> DataFrame:
     """status after one more failure, and delay_s: doubling, plus a jitter that depends on the key alone."""
     dead = F.col("fail_count") + 1 >= most

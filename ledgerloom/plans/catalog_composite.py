@@ -601,6 +601,23 @@ def _(spark, d):
     return jobs.debounced_alerts(verdicts, "at_s", quiet_s=1860).select("fleet", "at_s")
 
 
+@query(
+    "str_09_heartbeats",
+    WQ
+    + f""", h AS (SELECT id, CASE WHEN id % 3 = 1 THEN 'stale' ELSE claim_token END AS claim_token FROM work_queue WHERE id % 3 < 2)
+  SELECT id, strftime(CASE WHEN id % 3 = 0 AND status = 'running' THEN greatest(lease_until, TIMESTAMP '{QUEUE_NOW}' + INTERVAL 360 SECOND) ELSE lease_until END, '%Y-%m-%d %H:%M:%S') AS lease_until,
+  EXISTS (SELECT 1 FROM h WHERE h.id = q.id AND NOT (h.claim_token = q.claim_token AND q.status = 'running')) AS lost FROM work_queue q""",
+)
+def _(spark, d):
+    from ledgerloom.operators import upserts
+
+    # Beats of two units in three, half of them with a token that is no longer theirs, each delivered twice.
+    q = load(spark, d, "work_queue")
+    beats = q.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 1, "stale").otherwise(F.col("claim_token")).alias("claim_token"), ts(QUEUE_NOW).alias("at"))
+    out, lost = upserts.renew(q, beats.unionByName(beats), "id", "claim_token", "at", 360, "running")
+    return out.join(lost.select("id", F.lit(True).alias("lost")), "id", "left").select("id", F.date_format("lease_until", "yyyy-MM-dd HH:mm:ss").alias("lease_until"), F.coalesce("lost", F.lit(False)).alias("lost"))
+
+
 @query("str_10_recurring_queue", WQ + "SELECT type, count(*) AS queued FROM work_queue GROUP BY 1")
 def _(spark, d):
     from ledgerloom.operators import upserts
@@ -685,6 +702,18 @@ def _(spark, d):
     return load(spark, d, "customer").select("c_custkey", urls.is_public_host(picked([h for h, _ in HOSTS], "c_custkey")).alias("public"))
 
 
+@query(
+    "ctl_11_response_cache",
+    """WITH RECURSIVE r AS (SELECT event_id AS id, user_id % 10 AS k, event_id::DOUBLE AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS i FROM events),
+  s AS (SELECT DISTINCT k, 0::BIGINT AS i, NULL::BIGINT AS id, false AS hit, NULL::DOUBLE AS made FROM r UNION ALL
+    SELECT k, i, id, fresh, CASE WHEN fresh THEN made ELSE t END FROM (SELECT s.k, r.i, r.id, r.t, s.made, coalesce(r.t - s.made < 25, false) AS fresh FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1))
+  SELECT id, hit FROM s WHERE i > 0""",
+)
+def _(spark, d):
+    r = load(spark, d, "events").selectExpr("event_id AS id", "user_id % 10 AS k", "cast(event_id as double) AS at_s")
+    return control.cache_hits(r, "k", "at_s", 25.0).select("id", "hit")
+
+
 @query("ctl_12_capacity_gate", "SELECT event_id, event_id % 100 <= 85 AND value <= 200 AS ok FROM events")
 def _(spark, d):
     return load(spark, d, "events").select("event_id", control.has_room({"mem_pct": (F.col("event_id") % 100, 85), "wait": (F.col("value"), 200)}).alias("ok"))
