@@ -40,7 +40,7 @@ BANDS, ROWS = 20, 5
 HASH_SEED = 42
 CHUNK = 256
 #: A tile holds about so many nodes, or bytes of text, at most (but a node at least).
-TILE, TILE_BYTES = 1024, 16 << 20
+TILE, TILE_BYTES = 512, 8 << 20
 #: Tiles of more nodes are compared by a matrix product, so many shingles at a time.
 FEW, COLUMNS = 16, 2048
 #: Nodes that one task compares with a hub.
