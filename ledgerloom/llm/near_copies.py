@@ -44,7 +44,7 @@ TILE, TILE_BYTES = 512, 8 << 20
 #: Tiles of more nodes are compared by a matrix product, so many shingles at a time.
 FEW, COLUMNS = 16, 2048
 #: Nodes that one task compares with a hub.
-HUB_ROWS = 1024
+HUB_ROWS = 256
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)

@@ -18,12 +18,16 @@ def skewed(spark):
     for k, v in SMALL.items():
         spark.conf.set(k, v)
     store = spark._jsparkSession.sharedState().statusStore()
-    seen = store.executionsCount()
 
-    def plans() -> list[str]:
+    def executions() -> list:
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
         every = store.executionsList()
-        return [p for k in range(int(min(seen, every.size())), every.size()) if "skew=true" in (p := every.apply(k).physicalPlanDescription())]
+        return [every.apply(k) for k in range(every.size())]
+
+    last = max((e.executionId() for e in executions()), default=-1)
+
+    def plans() -> list[str]:
+        return [p for e in executions() if e.executionId() > last and "skew=true" in (p := e.physicalPlanDescription())]
 
     yield plans
     for k, v in before.items():
