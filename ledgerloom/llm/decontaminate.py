@@ -308,17 +308,24 @@ class Index:
 
     def _dense(self, opened: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which of the windows (text, length, start) have as many of the items' word groups around them as a leak must hold."""
-        doc, length, start = opened.T
+        # Only texts with a window are read, end to end.
+        texts, doc = np.unique(opened[:, 0], return_inverse=True)
+        sizes = ends[texts + 1] - ends[texts]
+        last = np.cumsum(sizes)
+        moved = last - sizes - ends[texts]  # from a text's place among all texts to that among those
+        words = words[np.arange(last[-1]) - np.repeat(moved, sizes)]
+        length, start = opened[:, 1], opened[:, 2] + moved[doc]
         k = np.array([allowed(n) for n in range(int(length.max()) + 1)])[length]
-        low, high = np.clip(start - 2 * k, ends[doc], ends[doc + 1]), np.clip(start + length + 2 * k, ends[doc], ends[doc + 1])
+        first, end = (last - sizes)[doc], last[doc]
+        low, high = np.clip(start - 2 * k, first, end), np.clip(start + length + 2 * k, first, end)
         out = np.ones(len(opened), dtype=bool)
         for n, hashes in self.grams.items():
-            if len(words) < n:
+            if len(words) < n or not len(hashes):
                 continue
             h = gram_hash(words, n)
-            at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-            total = np.r_[0, np.cumsum(hashes[at] == h if len(hashes) else np.zeros(len(h), bool))]
-            held = total[np.minimum(np.maximum(high - n + 1, low), len(h))] - total[np.minimum(low, len(h))]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            total = np.r_[0, np.cumsum(hashes[at] == h)]
+            held = total[np.clip(high - n + 1, low, len(h))] - total[np.minimum(low, len(h))]
             out &= held >= length - n + 1 - n * k
         return out
 
