@@ -69,7 +69,8 @@ def _any_year(text: Column) -> Column:
 
 def _month(word: Column) -> Column:
     """The number of the month whose name begins with the word's three letters, as text; null if there is none."""
-    return F.element_at(F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m, f"{k:02d}")]), F.lower(F.substring(word, 1, 3)))
+    at = F.position(F.concat(F.lit("."), F.lower(F.substring(word, 1, 3))), F.lit("".join(f".{m}" for m in MONTHS)))
+    return F.when((F.length(word) >= 3) & (at > 0), F.lpad(F.floor((at + 3) / 4).cast("string"), 2, "0"))
 
 
 def _kind(t: Column) -> Column:
@@ -91,6 +92,10 @@ def _kind(t: Column) -> Column:
 
 def _read(text: Column, tokens: Column, day_first: bool) -> Column:
     layout = F.regexp_replace(F.regexp_replace(F.array_join(F.transform(tokens, _kind), ""), TIME_OF_DAY, ""), LOOSE_SIGNS, "")
+    return let(layout, lambda x: _by_layout(x, text, tokens, day_first))
+
+
+def _by_layout(layout: Column, text: Column, tokens: Column, day_first: bool) -> Column:
     numbers = F.filter(tokens, lambda t: t.rlike(r"^\d+$"))
     month = F.get(F.filter(F.transform(tokens, _month), lambda m: m.isNotNull()), F.lit(0))
     number = lambda k: F.lpad(F.get(numbers, F.lit(k)), 2, "0")
