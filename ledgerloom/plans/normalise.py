@@ -95,7 +95,9 @@ def crawl(seeds: DataFrame, links: DataFrame, folder: str | None = None, max_rou
     only pages of its seeds' registrable domains, and with ``page_s`` (a column of ``links``: the seconds that the
     target takes) no more once they have taken ``budget_s``. The loop is bounded by rounds. Each round is one join of
     the pages just visited with the links; its tables are written to ``folder``, which executors share (a new one if
-    none is named), so plans stay small and a lost executor costs one round at most.
+    none is named), so plans stay small and a lost executor costs one round at most. Joins are by sorting: Spark takes a
+    table for as small as its files, which hold addresses compressed and links before they are exploded, and would send
+    such a table through the driver.
     """
     spark = seeds.sparkSession
     folder = folder or shared_folder(spark, "crawl")
@@ -114,17 +116,17 @@ def crawl(seeds: DataFrame, links: DataFrame, folder: str | None = None, max_rou
         room = F.lit(max_pages)
         if done is not None:
             spent = done.groupBy("site").agg(F.count("*").alias("_n"), F.sum("takes").alias("_s"))
-            frontier = frontier.join(spent, "site", "left").where(F.coalesce("_s", F.lit(0.0)) < budget_s)
+            frontier = frontier.join(spent.hint("merge"), "site", "left").where(F.coalesce("_s", F.lit(0.0)) < budget_s)
             room = F.lit(max_pages) - F.coalesce("_n", F.lit(0))
         now = frontier.withColumn("_rk", F.row_number().over(best)).where((F.col("_rk") <= batch) & (F.col("_rk") <= room)).select("site", "url", "takes", F.lit(r).alias("round"))
         now = kept(now, f"visited/r={r}")
         if not now.limit(1).count():
             break
         done = spark.read.schema(now.schema).parquet(*[f"{folder}/visited/r={k}" for k in range(r + 1)])
-        found = now.select("site", F.col("url").alias("source")).join(ways, "source").drop("source")
+        found = now.select("site", F.col("url").alias("source")).join(ways.hint("merge"), "source").drop("source")
         if same_site:
-            found = found.withColumn("home", urls.registrable_domain(urls.netloc(F.col("url")))).join(home, ["site", "home"], "left_semi").drop("home")
+            found = found.withColumn("home", urls.registrable_domain(urls.netloc(F.col("url")))).join(home.hint("merge"), ["site", "home"], "left_semi").drop("home")
         rest = frontier.select("site", "url", "score", "takes").unionByName(found.select("site", "url", "score", "takes"))
         rest = rest.groupBy("site", "url").agg(F.max("score").alias("score"), F.max("takes").alias("takes"))
-        frontier = kept(rest.join(done.select("site", "url"), ["site", "url"], "left_anti"), f"frontier/r={r}")
+        frontier = kept(rest.join(done.select("site", "url").hint("merge"), ["site", "url"], "left_anti"), f"frontier/r={r}")
     return done.select("site", "url", "round") if done is not None else seeds.select("site", "url", F.lit(0).alias("round")).limit(0)

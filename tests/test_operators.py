@@ -67,6 +67,22 @@ def test_crawl_keeps_to_its_limits(spark):
     assert {r.url for r in rows if r.round == 1} == {f"p{i}" for i in range(5)}
 
 
+def test_crawl_sends_no_table_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions() -> list:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        every = store.executionsList()
+        return [every.apply(k) for k in range(every.size())]
+
+    last = max((e.executionId() for e in executions()), default=-1)
+    seeds = spark.range(30).selectExpr("id AS site", "concat('https://s', id, '.com/0') AS url")
+    links = seeds.selectExpr("url", "explode(array('1', '2')) AS p").selectExpr("url", "concat(substring_index(url, '/', 3), '/', p) AS target", "0.9D AS score", "1.0D AS takes")
+    assert normalise.crawl(seeds, links, same_site=True, page_s="takes").count() == 90
+    joins_of = [p for e in executions() if e.executionId() > last and "Join" in (p := e.physicalPlanDescription())]
+    assert joins_of and not [p for p in joins_of if "BroadcastExchange" in p]
+
+
 def test_hash_gate_opens_without_a_snapshot(spark):
     pages = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, content string")
     before = pages.where("id = 1").select("id", F.sha2("content", 256).alias("content_hash"))
